@@ -17,7 +17,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``running_n``, ``running_sum`` and ``running_max`` of ``value`` up to each row.
 
-    ``order`` must be unique per key. ``value`` should be a decimal or an integer; sums
+    ``order`` must be unique per key. ``value`` should be an integer or a decimal; sums
     of doubles would depend on where a large key was cut.
     """
     sliced = slice_hot_groups(rows, key, order, rows_per_task)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.event_time import micros_between
-from tidemark.functions.exact import as_double, money
+from tidemark.functions.exact import as_amount, exact_sum, hundredths
 from tidemark.operators.asof import last_seen
 from tidemark.operators.running import running_totals
 from tidemark.operators.sessions import sessions
@@ -25,7 +25,7 @@ SESSION_GAP = 2 * HOUR
 
 
 def event_sums() -> dict[str, Column]:
-    return {"n_events": F.count(F.lit(1)), "total_value": F.sum(money("value"))}
+    return {"n_events": F.count(F.lit(1)), "total_value": exact_sum(hundredths("value"))}
 
 
 EVENT_SUMS_SQL = """count(*) AS n_events,
@@ -36,7 +36,7 @@ def running_value_per_user(
     spark: SparkSession, folder: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     events = read_table(spark, folder, "events").select(
-        "event_id", "user_id", "ts", money("value").alias("amount")
+        "event_id", "user_id", "ts", hundredths("value").alias("amount")
     )
     return running_totals(
         events, "user_id", ["ts", "event_id"], "amount", rows_per_task
@@ -45,8 +45,8 @@ def running_value_per_user(
         "user_id",
         "ts",
         "running_n",
-        as_double("running_sum").alias("running_value"),
-        as_double("running_max").alias("running_max"),
+        as_amount("running_sum", 2).alias("running_value"),
+        as_amount("running_max", 2).alias("running_max"),
     )
 
 
@@ -68,7 +68,7 @@ def flat_window(totals: DataFrame) -> DataFrame:
         F.col("window.start").cast("timestamp_ntz").alias("window_start"),
         F.col("window.end").cast("timestamp_ntz").alias("window_end"),
         *others,
-        as_double("total_value").alias("total_value"),
+        as_amount("total_value", 2).alias("total_value"),
     )
 
 
@@ -103,7 +103,7 @@ GROUP BY window_start, event_type
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     events = read_table(spark, folder, "events")
     return sessions(events, "user_id", "ts", SESSION_GAP, event_sums()).withColumn(
-        "total_value", as_double("total_value")
+        "total_value", as_amount("total_value", 2)
     )
 
 
@@ -175,7 +175,7 @@ def props_rollup(spark: SparkSession, folder: str) -> DataFrame:
         "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"), "value"
     )
     return rollup_totals(events, ["event_type", "k"], event_sums()).withColumn(
-        "total_value", as_double("total_value")
+        "total_value", as_amount("total_value", 2)
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import as_double, gross_price, money, net_price, rate
+from tidemark.functions.exact import as_amount, exact_sum, gross_price, hundredths, net_price
 from tidemark.operators.joins import totals_by_key, with_match, without_match
 from tidemark.operators.subtotals import cube_totals, grouping_set_totals, rollup_totals
 from tidemark.operators.top_k import top_k_per_group
@@ -23,24 +23,24 @@ def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
         .filter(shipped)
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            F.sum(money("l_quantity")).alias("qty"),
-            F.sum(money("l_extendedprice")).alias("price"),
-            F.sum(net_price()).alias("net"),
-            F.sum(gross_price()).alias("gross"),
-            F.sum(rate("l_discount")).alias("discount"),
+            exact_sum(hundredths("l_quantity")).alias("qty"),
+            exact_sum(hundredths("l_extendedprice")).alias("price"),
+            exact_sum(net_price()).alias("net"),
+            exact_sum(gross_price()).alias("gross"),
+            exact_sum(hundredths("l_discount")).alias("discount"),
             F.count(F.lit(1)).alias("n_items"),
         )
     )
     return totals.select(
         "l_returnflag",
         "l_linestatus",
-        as_double("qty").alias("sum_qty"),
-        as_double("price").alias("sum_base_price"),
-        as_double("net").alias("sum_disc_price"),
-        as_double("gross").alias("sum_charge"),
-        (as_double("qty") / F.col("n_items")).alias("avg_qty"),
-        (as_double("price") / F.col("n_items")).alias("avg_price"),
-        (as_double("discount") / F.col("n_items")).alias("avg_disc"),
+        as_amount("qty", 2).alias("sum_qty"),
+        as_amount("price", 2).alias("sum_base_price"),
+        as_amount("net", 4).alias("sum_disc_price"),
+        as_amount("gross", 6).alias("sum_charge"),
+        (as_amount("qty", 2) / F.col("n_items")).alias("avg_qty"),
+        (as_amount("price", 2) / F.col("n_items")).alias("avg_price"),
+        (as_amount("discount", 2) / F.col("n_items")).alias("avg_disc"),
         "n_items",
     )
 
@@ -75,7 +75,7 @@ def revenue_by_nation(spark: SparkSession, folder: str) -> DataFrame:
     before the join that follows, so every join meets a key at most once on both sides.
     """
     per_order = totals_by_key(
-        read_table(spark, folder, "lineitem"), "l_orderkey", {"revenue": F.sum(net_price())}
+        read_table(spark, folder, "lineitem"), "l_orderkey", {"revenue": exact_sum(net_price())}
     )
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     per_customer = totals_by_key(
@@ -95,7 +95,7 @@ def revenue_by_nation(spark: SparkSession, folder: str) -> DataFrame:
             read_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
         )
         .join(read_table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("r_name", "n_name", "n_orders", as_double("revenue").alias("revenue"))
+        .select("r_name", "n_name", "n_orders", as_amount("revenue", 4).alias("revenue"))
     )
 
 
@@ -161,11 +161,11 @@ PLACE = ["c_nationkey", "c_mktsegment"]
 
 
 def customer_sums() -> dict[str, Column]:
-    return {"n_customers": F.count(F.lit(1)), "balance": F.sum(money("c_acctbal"))}
+    return {"n_customers": F.count(F.lit(1)), "balance": exact_sum(hundredths("c_acctbal"))}
 
 
 def _customer_totals(totals: DataFrame) -> DataFrame:
-    return totals.withColumn("balance", as_double("balance"))
+    return totals.withColumn("balance", as_amount("balance", 2))
 
 
 def customers_rollup(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.functions.exact import as_double
+from tidemark.functions.exact import as_amount
 from tidemark.plans.event_time import (
     HOUR,
     SESSION_GAP,
@@ -68,7 +68,7 @@ def stream_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
     def build(session: SparkSession) -> DataFrame:
         events = follow_table(session, folder, "events")
         found = session_stream(events, DELAY, SESSION_GAP, "user_id", event_sums())
-        return found.withColumn("total_value", as_double("total_value"))
+        return found.withColumn("total_value", as_amount("total_value", 2))
 
     return _to_end(spark, "stream_user_sessions", build)
 
