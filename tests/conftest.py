@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
         shuffle_partitions=8,
         settings={
             "spark.ui.enabled": "false",
+            # Plans are compared with their whole column lists.
+            "spark.sql.maxMetadataStringLength": "10000",
+            "spark.sql.debug.maxToStringFields": "1000",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },

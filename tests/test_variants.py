@@ -1,0 +1,83 @@
+"""The queries on bent tables, and the cutting of large keys, against the same SQL."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from tests.compare import assert_same
+from tests.variants import VARIANTS, make_variant
+from tidemark.operators.slices import SLICE, WHOLE, slice_hot_groups
+from tidemark.plans import event_time
+from tidemark.sources.tables import read_table
+
+CUT = {
+    "running_value_per_user": event_time.running_value_per_user,
+    "last_click_before_purchase": event_time.last_click_before_purchase,
+}
+EVENT_QUERIES = [
+    name
+    for name in __spark_entry__.queries()
+    if any(word in name for word in ("event", "user", "click", "props", "stream"))
+]
+CASES = [
+    (variant, name)
+    for variant, tables in VARIANTS.items()
+    for name in (__spark_entry__.queries() if len(tables) > 1 else EVENT_QUERIES)
+]
+
+
+@pytest.fixture(scope="module")
+def folders(tmp_path_factory, data):
+    base = tmp_path_factory.mktemp("variants")
+    return {name: make_variant(name, data, base / name) for name in VARIANTS}
+
+
+@pytest.mark.parametrize(("variant", "name"), CASES)
+def test_variant_matches_sql(spark, folders, variant, name):
+    folder = folders[variant]
+    result = __spark_entry__.queries()[name](spark, folder)
+    # May be empty: a single user makes errors on every day.
+    assert_same(result, __spark_entry__.oracle_sql()[name], folder)
+
+
+@pytest.mark.parametrize("name", CUT)
+@pytest.mark.parametrize("rows_per_task", [5, 20, 70, 400])
+@pytest.mark.parametrize("variant", VARIANTS)
+def test_cut_keys_match_sql(spark, folders, variant, rows_per_task, name):
+    """From every key cut to only the largest one cut."""
+    folder = folders[variant]
+    result = CUT[name](spark, folder, rows_per_task=rows_per_task)
+    assert assert_same(result, __spark_entry__.oracle_sql()[name], folder) > 0
+
+
+def test_slices_are_small_whole_and_in_order(spark, folders):
+    events = read_table(spark, folders["hot"], "events").select("user_id", "ts", "event_id")
+    sliced = slice_hot_groups(events, "user_id", ["ts", "event_id"], rows_per_task=40)
+    groups = sliced.rows.groupBy("user_id", SLICE).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")
+    )
+    found = groups.orderBy("user_id", SLICE).collect()
+    assert sum(g.n for g in found) == events.count()
+    # Range boundaries come from a sample, so a slice may be somewhat larger.
+    assert max(g.n for g in found) <= 100
+    hot = [g for g in found if g.user_id == 7]
+    assert len(hot) >= 5 and all(g[SLICE] != WHOLE for g in hot)
+    assert all(a["last"] <= b["first"] for a, b in zip(hot, hot[1:]))
+
+
+def test_small_keys_are_not_cut(spark, folders):
+    events = read_table(spark, folders["hot"], "events").select("user_id", "ts", "event_id")
+    sliced = slice_hot_groups(events, "user_id", ["ts", "event_id"], rows_per_task=200)
+    cut = sliced.rows.filter(F.col(SLICE) != WHOLE).select("user_id").distinct().collect()
+    assert [row.user_id for row in cut] == [7]
+
+
+def test_null_key_can_be_cut(spark, folders):
+    events = read_table(spark, folders["hot"], "events").withColumn(
+        "user_id", F.when(F.col("user_id") != 7, F.col("user_id"))
+    )
+    sliced = slice_hot_groups(events, "user_id", ["ts", "event_id"], rows_per_task=50)
+    assert sliced.rows.count() == events.count()
+    assert sliced.rows.filter(f"user_id IS NULL AND {SLICE} >= 0").count() > 300

@@ -17,8 +17,9 @@ def sessions(
 ) -> DataFrame:
     """One row per session of ``key``: first and last event time and the given sums.
 
-    A pause of ``gap`` seconds or more ends a session. ``sums`` are aggregates that can
-    be added up, that is counts and sums.
+    A pause of more than ``gap`` seconds ends a session, as with Spark's
+    ``session_window``. ``sums`` are aggregates that can be added up, that is counts and
+    sums.
 
     Two events in the same slot of ``gap`` seconds are less than ``gap`` apart and so
     always share a session. Adding up each slot first, partly before the shuffle, leaves
@@ -31,7 +32,7 @@ def sessions(
     )
     in_order = Window.partitionBy(key).orderBy("_slot")
     previous = F.lag("_last").over(in_order)
-    starts = previous.isNull() | (F.col("_first") >= previous + seconds(gap))
+    starts = previous.isNull() | (F.col("_first") > previous + seconds(gap))
     return (
         slots.withColumn("_start", F.when(starts, F.col("_first")))
         .withColumn("session_start", F.last("_start", ignorenulls=True).over(in_order))

@@ -110,7 +110,7 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
 USER_SESSIONS_SQL = f"""
 WITH marked AS (
   SELECT user_id, ts, value,
-         CASE WHEN ts - lag(ts) OVER w < INTERVAL {SESSION_GAP} SECOND THEN 0 ELSE 1 END AS starts
+         CASE WHEN ts - lag(ts) OVER w <= INTERVAL {SESSION_GAP} SECOND THEN 0 ELSE 1 END AS starts
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
 ), numbered AS (
   SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts
