@@ -24,6 +24,7 @@ EVENT_QUERIES = [
 CASES = [
     (variant, name)
     for variant, tables in VARIANTS.items()
+    if variant != "march"
     for name in (__spark_entry__.queries() if len(tables) > 1 else EVENT_QUERIES)
 ]
 
@@ -42,9 +43,19 @@ def test_variant_matches_sql(spark, folders, variant, name):
     assert_same(result, __spark_entry__.oracle_sql()[name], folder)
 
 
+@pytest.mark.parametrize("name", EVENT_QUERIES)
+def test_results_do_not_depend_on_the_time_zone(spark, folders, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        result = __spark_entry__.queries()[name](spark, folders["march"])
+        assert_same(result, __spark_entry__.oracle_sql()[name], folders["march"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("name", CUT)
 @pytest.mark.parametrize("rows_per_task", [5, 20, 70, 400])
-@pytest.mark.parametrize("variant", VARIANTS)
+@pytest.mark.parametrize("variant", ["hot", "ties", "shuffled", "single"])
 def test_cut_keys_match_sql(spark, folders, variant, rows_per_task, name):
     """From every key cut to only the largest one cut."""
     folder = folders[variant]

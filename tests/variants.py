@@ -27,6 +27,10 @@ VARIANTS = {
     "shuffled": {
         "events": "SELECT * REPLACE (value - 100 AS value) FROM events ORDER BY hash(event_id)",
     },
+    # Over a change of the clocks in zones that have one.
+    "march": {
+        "events": "SELECT * REPLACE (ts + INTERVAL 60 DAY AS ts) FROM events",
+    },
     # One user alone.
     "single": {
         "events": "SELECT * REPLACE (3::BIGINT AS user_id) FROM events",

@@ -17,4 +17,15 @@ def slot_start(ts: str, width: int) -> Column:
 
 
 def micros_between(earlier: str, later: str) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.col(earlier), F.col(later))
+    """Microseconds between two timestamps without a time zone.
+
+    Taken from their interval: the functions that return a number go through the session's
+    time zone and are an hour off when the clocks change.
+    """
+    pause = F.col(later) - F.col(earlier)
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), pause)
+
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")

@@ -12,36 +12,43 @@ def last_seen(
     timeline: DataFrame,
     key: str,
     order: list[str],
-    seen: str,
+    offers: str,
+    fields: list[str],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Replace ``seen`` by its latest non-null value at or before each row of the key.
+    """Add ``seen``: the ``fields`` of the latest offering row at or before each row.
 
-    ``timeline`` holds both sides of the lookup: rows that offer a value in ``seen``
-    and rows that ask for one, where it is null. ``order`` must be unique per key and
-    decides which of two rows at the same time comes first.
+    ``timeline`` holds both sides of the lookup; the boolean ``offers`` tells the rows
+    that can be found from those that ask. ``order`` must be unique per key and decides
+    which of two rows at the same time comes first. ``seen`` is null where no row of the
+    key has offered anything yet.
     """
     sliced = slice_hot_groups(timeline, key, order, rows_per_task)
     so_far = (
-        Window.partitionBy(key, SLICE)
+        Window.partitionBy(*sliced.by)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = sliced.rows.withColumn("_last", F.last(seen, ignorenulls=True).over(so_far))
-    others = [c for c in timeline.columns if c != seen]
+    offer = F.when(F.col(offers), F.struct(*fields))
+    local = (
+        # Shuffled before the offers are copied into a column of their own, not after.
+        sliced.rows.repartition(*sliced.by)
+        .withColumn("_offer", offer)
+        .withColumn("seen", F.last("_offer", ignorenulls=True).over(so_far))
+    )
     if sliced.hot is None:
-        return local.select(*others, F.col("_last").alias(seen))
+        return local.select(*timeline.columns, "seen")
 
-    # One row per slice: its last offered value, found without sorting the slice.
+    # One row per slice: its last offer, found without sorting the slice.
     earlier = (
         Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     )
-    offered = F.when(F.col(seen).isNotNull(), F.struct(*order))
+    when_offered = F.when(F.col(offers), F.struct(*order))
     carry = (
         sliced.hot.groupBy(key, SLICE)
-        .agg(F.max_by(seen, offered).alias("_offer"))
-        .select(key, SLICE, F.last("_offer", ignorenulls=True).over(earlier).alias("_carried"))
+        .agg(F.max_by(F.struct(*fields), when_offered).alias("_last"))
+        .select(key, SLICE, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     )
     return add_carry(local, key, carry).select(
-        *others, F.coalesce("_last", "_carried").alias(seen)
+        *timeline.columns, F.coalesce("seen", "_carried").alias("seen")
     )

@@ -22,7 +22,7 @@ def running_totals(
     """
     sliced = slice_hot_groups(rows, key, order, rows_per_task)
     so_far = (
-        Window.partitionBy(key, SLICE)
+        Window.partitionBy(*sliced.by)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

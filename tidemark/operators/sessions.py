@@ -32,10 +32,11 @@ def sessions(
     )
     in_order = Window.partitionBy(key).orderBy("_slot")
     previous = F.lag("_last").over(in_order)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = previous.isNull() | (F.col("_first") > previous + seconds(gap))
     return (
         slots.withColumn("_start", F.when(starts, F.col("_first")))
-        .withColumn("session_start", F.last("_start", ignorenulls=True).over(in_order))
+        .withColumn("session_start", F.last("_start", ignorenulls=True).over(so_far))
         .groupBy(key, "session_start")
         .agg(
             F.max("_last").alias("session_end"),

@@ -29,7 +29,8 @@ MAX_SLICES = 20_000
 @dataclass(frozen=True)
 class SlicedRows:
     rows: DataFrame  # all rows, with a slice number
-    hot: DataFrame | None  # the rows of the oversized keys alone, if there are any
+    by: list[str]  # the columns whose groups are small enough for one task
+    hot: DataFrame | None = None  # the rows of the oversized keys alone, if there are any
 
 
 def same(left: Column, right: Column) -> Column:
@@ -50,12 +51,12 @@ def slice_hot_groups(
     whole = rows.withColumn(SLICE, F.lit(WHOLE))
     total = rows.count()
     if total <= rows_per_task:
-        return SlicedRows(whole, None)
+        return SlicedRows(whole, [key])
 
     limit = max(rows_per_task, total // MAX_HOT_KEYS)
     hot_keys = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()
     if not hot_keys:
-        return SlicedRows(whole, None)
+        return SlicedRows(whole, [key])
 
     spark = rows.sparkSession
     keys = F.broadcast(
@@ -75,7 +76,8 @@ def slice_hot_groups(
         .write.parquet(folder)
     )
     hot = spark.read.schema(whole.schema).parquet(folder)
-    return SlicedRows(whole.join(keys, is_hot, "left_anti").unionByName(hot), hot)
+    others = whole.join(keys, is_hot, "left_anti")
+    return SlicedRows(others.unionByName(hot), [key, SLICE], hot)
 
 
 def add_carry(local: DataFrame, key: str, carry: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Set operations on the days on which users did something."""
+"""The days on which users did something, as sets."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ from tidemark.functions.event_time import slot_start
 DAY = 24 * 3600
 
 
-def user_days(events: DataFrame, event_type: str) -> DataFrame:
-    """Each user and day with an event of the type, once.
+def user_days(events: DataFrame, event_types: list[str]) -> DataFrame:
+    """Each user and day with an event of these types, with one ``has_<type>`` flag each.
 
-    The set operations compare these rows, not the events, and reuse their partitioning.
+    The rows are the union of the types' sets of user-days, and filters on the flags give
+    intersection and difference. Spark's own set operators would read the events once per
+    type and shuffle each set twice, the second time for a comparison that lets nulls be
+    equal; here the events are read and shuffled once, and nulls are equal as well.
     """
     return (
-        events.filter(F.col("event_type") == event_type)
-        .select("user_id", slot_start("ts", DAY).alias("day"))
-        .distinct()
+        events.filter(F.col("event_type").isin(*event_types))
+        .groupBy("user_id", slot_start("ts", DAY).alias("day"))
+        .agg(*(F.bool_or(F.col("event_type") == t).alias(f"has_{t}") for t in event_types))
     )

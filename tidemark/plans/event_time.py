@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.event_time import micros_between
-from tidemark.functions.exact import as_amount, exact_sum, hundredths
+from tidemark.functions.exact import as_amount, hundredths
 from tidemark.operators.asof import last_seen
 from tidemark.operators.running import running_totals
 from tidemark.operators.sessions import sessions
@@ -25,7 +25,8 @@ SESSION_GAP = 2 * HOUR
 
 
 def event_sums() -> dict[str, Column]:
-    return {"n_events": F.count(F.lit(1)), "total_value": exact_sum(hundredths("value"))}
+    # Values are small: a bigint holds their sum over 10^14 events.
+    return {"n_events": F.count(F.lit(1)), "total_value": F.sum(hundredths("value"))}
 
 
 EVENT_SUMS_SQL = """count(*) AS n_events,
@@ -127,29 +128,28 @@ def last_click_before_purchase(
     spark: SparkSession, folder: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Each purchase with the user's latest click at or before it; null if there is none."""
-    is_click = F.col("event_type") == "click"
     timeline = (
         read_table(spark, folder, "events")
         .filter(F.col("event_type").isin("click", "purchase"))
         .select(
             "user_id",
             "ts",
-            # Orders a click before a purchase at the same time.
-            (~is_click).alias("is_purchase"),
             "event_id",
-            F.when(is_click, F.struct("event_id", "ts")).alias("click"),
+            (F.col("event_type") == "click").alias("is_click"),
+            # Orders a click before a purchase at the same time.
+            (F.col("event_type") == "purchase").alias("is_purchase"),
         )
     )
     order = ["ts", "is_purchase", "event_id"]
     return (
-        last_seen(timeline, "user_id", order, "click", rows_per_task)
+        last_seen(timeline, "user_id", order, "is_click", ["event_id", "ts"], rows_per_task)
         .filter("is_purchase")
         .select(
             F.col("event_id").alias("purchase_id"),
             "user_id",
             F.col("ts").alias("purchase_ts"),
-            F.col("click.event_id").alias("click_id"),
-            F.col("click.ts").alias("click_ts"),
+            F.col("seen.event_id").alias("click_id"),
+            F.col("seen.ts").alias("click_ts"),
         )
         .withColumn("micros_since_click", micros_between("click_ts", "purchase_ts"))
     )
@@ -187,19 +187,22 @@ GROUP BY ROLLUP (event_type, k)
 """
 
 
+def _purchase_error_days(spark: SparkSession, folder: str) -> DataFrame:
+    return user_days(read_table(spark, folder, "events"), ["purchase", "error"])
+
+
 def user_days_purchase_and_error(spark: SparkSession, folder: str) -> DataFrame:
-    events = read_table(spark, folder, "events")
-    return user_days(events, "purchase").intersect(user_days(events, "error"))
+    days = _purchase_error_days(spark, folder)
+    return days.filter("has_purchase AND has_error").select("user_id", "day")
 
 
 def user_days_purchase_no_error(spark: SparkSession, folder: str) -> DataFrame:
-    events = read_table(spark, folder, "events")
-    return user_days(events, "purchase").subtract(user_days(events, "error"))
+    days = _purchase_error_days(spark, folder)
+    return days.filter("has_purchase AND NOT has_error").select("user_id", "day")
 
 
 def user_days_purchase_or_error(spark: SparkSession, folder: str) -> DataFrame:
-    events = read_table(spark, folder, "events")
-    return user_days(events, "purchase").unionByName(user_days(events, "error")).distinct()
+    return _purchase_error_days(spark, folder).select("user_id", "day")
 
 
 def _user_days_sql(set_operator: str) -> str:
