@@ -18,7 +18,7 @@ from tidemark.session import working_folder
 SLICE = "_slice"
 WHOLE = -1  # slice number of every row whose key was not cut
 
-ROWS_PER_TASK = 2_000_000
+ROWS_PER_TASK = 500_000
 
 # Fewer than MAX_HOT_KEYS keys can each have more than 1/MAX_HOT_KEYS of all rows.
 # Together with MAX_SLICES this bounds everything that is broadcast below.
