@@ -10,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark.functions.exact import as_amount, exact_sum, hundredths
 from tidemark.operators.asof import last_seen
 from tidemark.operators.joins import with_match, without_match
 from tidemark.operators.running import running_totals
@@ -196,3 +197,21 @@ def test_user_days(spark, rows):
     assert {
         (r.user_id, r.day): {n for n in names.values() if r[f"has_{n}"]} for r in found
     } == expected
+
+
+@few
+@given(st.lists(st.integers(-(2**62), 2**62), min_size=1, max_size=30))
+def test_exact_sum(spark, units):
+    """Negative numbers, and sums beyond a bigint."""
+    df = spark.createDataFrame([(u,) for u in units], "units bigint")
+    assert int(df.agg(exact_sum(F.col("units"))).first()[0]) == sum(units)
+
+
+@few
+@given(st.lists(st.integers(-(10**11), 10**11), min_size=1, max_size=30))
+def test_amounts_survive_as_hundredths(spark, cents):
+    df = spark.createDataFrame([(c / 100,) for c in cents], "amount double")
+    units = df.select(hundredths("amount").alias("units"))
+    assert [r.units for r in units.collect()] == cents
+    back = units.select(as_amount("units", 2).alias("amount")).collect()
+    assert [r.amount for r in back] == [c / 100 for c in cents]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -17,7 +18,7 @@ from tidemark.streaming.events import (
     sliding_stream,
     tumbling_stream,
 )
-from tidemark.streaming.run import read_output, run_available, stream_session
+from tidemark.streaming.run import read_output, run_available, start_available, stream_session
 
 
 class Feed:
@@ -99,6 +100,22 @@ def test_one_file_per_batch_gives_the_same(spark, streams, feed, tmp_path):
     assert results[0] == results[1] and results[0]
 
 
+def test_a_run_broken_off_is_continued(spark, streams, feed, tmp_path):
+    for day in range(1, 31, 3):
+        feed.send(f"SELECT * FROM given WHERE dayofmonth(ts) BETWEEN {day} AND {day + 2}")
+    location = str(tmp_path / "run")
+    events = follow_table(streams, feed.folder, "events", files_per_trigger=1)
+    stream = flat_window(tumbling_stream(events, HOUR, TUMBLE, ["event_type"], event_sums()))
+    query = start_available(stream, location)
+    while query.lastProgress is None and query.isActive:
+        time.sleep(0.05)
+    query.stop()
+    assert len(query.recentProgress) < 10
+    run_available(stream, location)
+    final = f"(SELECT max(ts) FROM sent) - INTERVAL {HOUR} SECOND"
+    assert counts_by_type(spark, stream, location) == expected_counts(feed, "sent", final)
+
+
 def test_late_events_count_until_the_watermark_passes(spark, streams, feed, tmp_path):
     """An event within the delay is counted; one behind the watermark is not."""
     location = str(tmp_path / "run")

@@ -13,6 +13,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LOWER_BITS = 20
+
 
 def hundredths(column: str) -> Column:
     return F.rint(F.col(column) * 100).cast("bigint")
@@ -29,8 +31,15 @@ def gross_price() -> Column:
 
 
 def exact_sum(units: Column) -> Column:
-    """Sum of whole units that cannot overflow, however many rows there are."""
-    return F.sum(units.cast("decimal(18,0)"))
+    """Sum of whole units, as a decimal, that may be beyond a bigint.
+
+    The upper and lower bits are summed apart as bigints, which holds for up to 2^43 rows,
+    and are put together once per group: decimals in the sum itself would cost more per
+    row and more bytes in the shuffle.
+    """
+    upper = F.sum(F.shiftright(units, LOWER_BITS))
+    lower = F.sum(units.bitwiseAND(F.lit(2**LOWER_BITS - 1)))
+    return upper.cast("decimal(20,0)") * F.lit(2**LOWER_BITS) + lower
 
 
 def as_amount(units: Column | str, places: int) -> Column:

@@ -23,11 +23,11 @@ def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
         .filter(shipped)
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            exact_sum(hundredths("l_quantity")).alias("qty"),
+            F.sum(hundredths("l_quantity")).alias("qty"),
             exact_sum(hundredths("l_extendedprice")).alias("price"),
             exact_sum(net_price()).alias("net"),
             exact_sum(gross_price()).alias("gross"),
-            exact_sum(hundredths("l_discount")).alias("discount"),
+            F.sum(hundredths("l_discount")).alias("discount"),
             F.count(F.lit(1)).alias("n_items"),
         )
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,14 +25,14 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def run_available(stream: DataFrame, location: str) -> None:
-    """Process what has arrived, append the finished rows to a parquet table and stop.
+def start_available(stream: DataFrame, location: str) -> StreamingQuery:
+    """Start processing what has arrived, appending the finished rows to a parquet table.
 
-    Running it again with the same ``location`` continues where the last run stopped,
+    Starting it again with the same ``location`` continues where the last run stopped,
     with the state it had; the table below ``location`` holds each row once even if a
     run was broken off.
     """
-    query = (
+    return (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", output_folder(location))
@@ -39,7 +40,10 @@ def run_available(stream: DataFrame, location: str) -> None:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+
+
+def run_available(stream: DataFrame, location: str) -> None:
+    start_available(stream, location).awaitTermination()
 
 
 def output_folder(location: str) -> str:
