@@ -188,3 +188,51 @@ def test_repeated_events_are_kept_once(spark, streams, feed, tmp_path):
     ids = [row.event_id for row in read_output(spark, stream, location).collect()]
     given = [i for (i,) in feed.con.sql("SELECT event_id FROM given").fetchall()]
     assert sorted(ids) == sorted(given)
+
+
+def test_very_many_copies_are_thinned_out_before_the_shuffle(spark, streams, feed, tmp_path):
+    """Nearly all rows are copies of one event."""
+    feed.send(
+        "SELECT * FROM given UNION ALL"
+        " (SELECT given.* FROM given, range(500000) WHERE event_id = 7)"
+    )
+    events = follow_table(streams, feed.folder, "events")
+    stream = deduplicated_stream(events, HOUR, "event_id")
+    location = str(tmp_path / "run")
+    query = start_available(stream, location)
+    query.awaitTermination()
+    ids = [row.event_id for row in read_output(spark, stream, location).collect()]
+    assert sorted(ids) == sorted(i for (i,) in feed.con.sql("SELECT event_id FROM given").fetchall())
+    state = query.recentProgress[0].stateOperators[0]
+    assert state.customMetrics["numDroppedDuplicateRows"] < 1000
+
+
+def test_a_late_copy_does_not_take_the_timely_one_with_it(spark, streams, feed, tmp_path):
+    feed.send("SELECT * FROM given WHERE ts < TIMESTAMP '2024-01-05'")
+    feed.send(
+        "SELECT * REPLACE (-1::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts)"
+        " FROM given WHERE event_id = 0 UNION ALL"
+        " SELECT * REPLACE (-1::BIGINT AS event_id) FROM given"
+        " WHERE ts BETWEEN TIMESTAMP '2024-01-06' AND TIMESTAMP '2024-01-07'"
+    )
+    events = follow_table(streams, feed.folder, "events", files_per_trigger=1)
+    stream = deduplicated_stream(events, HOUR, "event_id")
+    location = str(tmp_path / "run")
+    run_available(stream, location)
+    found = read_output(spark, stream, location).filter("event_id = -1").collect()
+    assert len(found) == 1 and found[0].ts > datetime.datetime(2024, 1, 6)
+
+
+def test_nulls_and_large_keys_are_told_apart(spark, streams, feed, tmp_path):
+    """Neighbouring keys beyond what a double can hold, and null, which counts as a key."""
+    feed.send(
+        "SELECT * REPLACE (CASE WHEN event_id % 100 = 0 THEN NULL"
+        " ELSE 9007199254740993 + event_id // 2 END AS event_id) FROM given"
+    )
+    events = follow_table(streams, feed.folder, "events")
+    stream = deduplicated_stream(events, HOUR, "event_id")
+    location = str(tmp_path / "run")
+    run_available(stream, location)
+    ids = [row.event_id for row in read_output(spark, stream, location).collect()]
+    expected = [i for (i,) in feed.con.sql("SELECT DISTINCT event_id FROM sent").fetchall()]
+    assert len(ids) == len(expected) and set(ids) == set(expected)

@@ -6,6 +6,9 @@ still change when the input ends stay in the state for the next run.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +58,35 @@ def session_stream(
 def deduplicated_stream(events: DataFrame, delay: int, key: str) -> DataFrame:
     """Each event once, if its copies arrive within ``delay`` seconds of event time.
 
-    The state forgets a key when the watermark has passed it.
+    The state forgets a key when the watermark has passed it. Copies are thinned out
+    before the shuffle, so that a key with very many of them does not fill one task.
     """
     return (
-        with_event_time(events, delay)
+        with_event_time(events.mapInArrow(_latest_copies(key, "ts"), events.schema), delay)
         .dropDuplicatesWithinWatermark([key])
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     )
+
+
+def _latest_copies(key: str, ts: str) -> Callable[[Iterator], Iterator]:
+    """Keep one row per key of each Arrow batch.
+
+    It is the one with the latest time: if the watermark has passed that one, it has
+    passed the others, and no event gets lost with a copy that came too late.
+    """
+
+    def thin_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.table(
+                {"key": batch[key], "ts": batch[ts], "row": pa.array(range(batch.num_rows))}
+            )
+            kept = (
+                rows.sort_by([("ts", "descending")])
+                .group_by("key", use_threads=False)
+                .aggregate([("row", "first")])["row_first"]
+            )
+            if len(kept) < batch.num_rows:
+                batch = batch.take(kept.combine_chunks())
+            yield batch
+
+    return thin_out
