@@ -123,3 +123,22 @@ def test_as_of_reads_the_events_once(spark, data):
     assert plan.count("Exchange") == 1
     # What is looked up is put together after the shuffle.
     assert plan.index("struct(event_id") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize(
+    "query", [event_time.running_value_per_user, event_time.last_click_before_purchase]
+)
+def test_cut_keys_are_shuffled_by_slice(spark, data, query):
+    """One shuffle of all rows by key and slice; the slice summaries are broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(query(spark, data, rows_per_task=20))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The rows, and the rows' summaries.
+    assert len(re.findall(r"Exchange hashpartitioning\(user_id#\d+L, _slice#\d+", plan)) == 2
+    # The hot keys, and the summaries.
+    assert plan.count("BroadcastExchange") == 2
+    assert "SortMergeJoin" not in plan and "SinglePartition" not in plan
+    # Done once, before, and written.
+    assert "rangepartitioning" not in plan

@@ -72,6 +72,22 @@ def expected_counts(feed, table: str, before: str) -> dict:
     return {(start, kind): n for start, kind, n in feed.con.sql(sql).fetchall()}
 
 
+def test_stream_session_keeps_the_callers_settings(spark):
+    name = "spark.sql.streaming.stateStore.minDeltasForSnapshot"
+    merge = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    spark.conf.set(name, "17")
+    try:
+        session = stream_session(spark)
+        assert session.conf.get(name) == "17"
+        assert session.conf.get(merge) == "true" and spark.conf.get(merge) == "false"
+        assert session.conf.get("spark.sql.shuffle.partitions") == "8"
+        spark.conf.set(merge, "false")
+        assert stream_session(spark).conf.get(merge) == "false"
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset(merge)
+
+
 def test_runs_continue_where_the_last_one_stopped(spark, streams, feed, tmp_path):
     location = str(tmp_path / "run")
     for day in range(1, 31, 10):

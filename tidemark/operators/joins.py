@@ -16,12 +16,18 @@ def totals_by_key(rows: DataFrame, key: str, sums: dict[str, Column]) -> DataFra
 
 
 def with_match(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
-    """The rows whose key occurs in ``others``."""
+    """The rows whose key occurs in ``others``, where it may occur any number of times.
+
+    ``rows`` are shuffled by the key as they are, so it should be their primary key.
+    """
     return _by_match(rows, key, others, other_key, "left_semi")
 
 
 def without_match(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
-    """The rows whose key does not occur in ``others``; a null key never occurs."""
+    """The rows whose key does not occur in ``others``; a null key never occurs.
+
+    As with ``with_match``, the key should be the primary key of ``rows``.
+    """
     return _by_match(rows, key, others, other_key, "left_anti")
 
 

@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# For streams, unless the caller's session sets them.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
-    """A session for streams that leaves the settings of ``spark`` alone.
+    """A session for streams with the settings of ``spark``, which it leaves alone.
 
     State is kept in RocksDB, on the executors' disks with a changelog in the checkpoint,
     because one key per user outgrows the memory of the default store. Sessions are
-    merged before the shuffle, so a user with very many events sends few rows.
+    merged before the shuffle, so a user with very many events sends few rows. Event
+    times have no time zone and are taken as UTC.
     """
     session = spark.newSession()
-    for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
-        session.conf.set(name, spark.conf.get(name))
+    for name, value in {**STREAM_SETTINGS, **spark.conf.getAll}.items():
+        if session.conf.isModifiable(name):
+            session.conf.set(name, value)
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return session
 
 
