@@ -163,6 +163,41 @@ def test_late_events_count_until_the_watermark_passes(spark, streams, feed, tmp_
     assert before[(datetime.datetime(2024, 1, 1, 6), "click")] >= 5
 
 
+def test_a_late_event_is_in_all_its_sliding_windows_or_in_none(spark, streams, feed, tmp_path):
+    location = str(tmp_path / "run")
+
+    def at(ts: str, kind: str) -> str:
+        return (
+            f"SELECT * REPLACE (TIMESTAMP '2024-01-02 {ts}' AS ts, '{kind}' AS event_type)"
+            " FROM given LIMIT 1"
+        )
+
+    feed.send(at("12:30:00", "first"))
+    feed.send(at("11:45:00", "timely"))  # the watermark is at 11:30
+    feed.send(at("13:30:00", "next"))
+    # The watermark is now past noon, where the pane ends. Spark takes this batch's rows
+    # by the watermark before, and only the next one's by the new one.
+    feed.send(at("11:50:00", "just in time"))
+    feed.send(at("11:50:00", "late"))
+    feed.send("SELECT * REPLACE (TIMESTAMP '2024-01-05' AS ts) FROM given LIMIT 1")
+    events = follow_table(streams, feed.folder, "events", files_per_trigger=1)
+    stream = flat_window(
+        sliding_stream(events, HOUR, 4 * TUMBLE, TUMBLE, ["event_type"], event_sums())
+    )
+    run_available(stream, location)
+    found = Counter(r.event_type for r in read_output(spark, stream, location).collect())
+    assert found == {"first": 4, "timely": 4, "next": 4, "just in time": 4}
+
+
+def test_state_can_be_spread_over_its_own_number_of_stores(spark, feed, tmp_path):
+    session = stream_session(spark, state_partitions=3)
+    feed.send("SELECT * FROM given")
+    stream = deduplicated_stream(follow_table(session, feed.folder, "events"), HOUR, "event_id")
+    query = start_available(stream, str(tmp_path / "run"))
+    query.awaitTermination()
+    assert query.lastProgress.stateOperators[0].numShufflePartitions == 3
+
+
 def test_sessions_across_batches(spark, streams, feed, tmp_path):
     """Sessions that span files are merged, and equal those of the whole input."""
     for day in range(1, 31, 5):

@@ -46,7 +46,7 @@ def slice_hot_groups(
     """Number the rows so that no ``(key, slice)`` has many more than ``rows_per_task``.
 
     ``order`` must end in a column that makes it unique per key, or equal rows could not
-    be told apart and cut. ``rows`` is read up to three times, so it should be a scan.
+    be told apart and cut. ``rows`` is read several times, so it should be a plain scan.
     """
     whole = rows.withColumn(SLICE, F.lit(WHOLE))
     total = rows.count()

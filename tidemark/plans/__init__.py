@@ -1,9 +1,8 @@
-"""The registered queries, each with the SQL that checks it where SQL can say it."""
+"""The registered queries, each with the SQL that checks it."""
 
+from tidemark.plans import event_time, relational, streams
 from tidemark.plans.query import Query
 
 
 def all_queries() -> list[Query]:
-    from tidemark.plans import event_time, relational, streams
-
     return [*relational.QUERIES, *event_time.QUERIES, *streams.QUERIES]

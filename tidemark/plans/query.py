@@ -1,3 +1,5 @@
+"""A registered query."""
+
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -10,4 +12,4 @@ from pyspark.sql import DataFrame, SparkSession
 class Query:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None = None
+    sql: str | None = None  # the same for DuckDB, unless SQL cannot say it

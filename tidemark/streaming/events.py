@@ -34,6 +34,11 @@ def tumbling_stream(
 def sliding_stream(
     events: DataFrame, delay: int, width: int, slide: int, by: list[str], sums: dict[str, Column]
 ) -> DataFrame:
+    """Totals per sliding window, added up from panes.
+
+    An event is late when the watermark has passed its pane. It is then missing from all
+    windows, where grouping by the window itself would still count it in the open ones.
+    """
     return sliding_totals(with_event_time(events, delay), "ts", width, slide, by, sums)
 
 

@@ -15,19 +15,25 @@ STREAM_SETTINGS = {
 }
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
     """A session for streams with the settings of ``spark``, which it leaves alone.
 
     State is kept in RocksDB, on the executors' disks with a changelog in the checkpoint,
     because one key per user outgrows the memory of the default store. Sessions are
     merged before the shuffle, so a user with very many events sends few rows. Event
     times have no time zone and are taken as UTC.
+
+    ``state_partitions`` is the number of stores the state is spread over, if it is not
+    to be the session's number of shuffle partitions. Each is opened and saved in every
+    micro-batch, so a few per core are enough. A stream keeps the number it began with.
     """
     session = spark.newSession()
     for name, value in {**STREAM_SETTINGS, **spark.conf.getAll}.items():
         if session.conf.isModifiable(name):
             session.conf.set(name, value)
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    if state_partitions is not None:
+        session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
     return session
 
 
