@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import working_folder
@@ -33,10 +33,6 @@ class SlicedRows:
     hot: DataFrame | None = None  # the rows of the oversized keys alone, if there are any
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
 def slice_hot_groups(
     rows: DataFrame,
     key: str,
@@ -54,15 +50,15 @@ def slice_hot_groups(
         return SlicedRows(whole, [key])
 
     limit = max(rows_per_task, total // MAX_HOT_KEYS)
-    hot_keys = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot_keys = counts.filter(F.col("n") > limit).collect()
     if not hot_keys:
         return SlicedRows(whole, [key])
 
     spark = rows.sparkSession
-    keys = F.broadcast(
-        spark.createDataFrame([(r[key],) for r in hot_keys], rows.select(key).schema).withColumnRenamed(key, "_hot")
-    )
-    is_hot = same(rows[key], keys["_hot"])
+    keys = spark.createDataFrame([(r[key],) for r in hot_keys], rows.select(key).schema)
+    keys = F.broadcast(keys.withColumnRenamed(key, "_hot"))
+    is_hot = rows[key].eqNullSafe(keys["_hot"])
     hot_total = sum(r["n"] for r in hot_keys)
     n_slices = min(MAX_SLICES, -(-hot_total // rows_per_task))
 
@@ -87,5 +83,5 @@ def add_carry(local: DataFrame, key: str, carry: DataFrame) -> DataFrame:
     broadcast.
     """
     carry = carry.withColumnsRenamed({key: "_carry_key", SLICE: "_carry_slice"})
-    at = same(local[key], carry["_carry_key"]) & (local[SLICE] == carry["_carry_slice"])
+    at = local[key].eqNullSafe(carry["_carry_key"]) & (local[SLICE] == carry["_carry_slice"])
     return local.join(F.broadcast(carry), at, "left").drop("_carry_key", "_carry_slice")
