@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import byte_tokens
+from tidemark.llm.common import saved
+
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.packing import pack, pieces_of
+from tidemark.llm.simple8b import read_token_files, write_token_files
+from tidemark.session import working_folder
 from tidemark.sources.tables import read_table
 
 
@@ -66,9 +74,39 @@ FROM n
 """
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+SEQUENCE = 2048
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = partial(byte_tokens.encode, path=vocabulary("byte_bpe_50k.json"))
+    pieces = pieces_of(read_table(spark, sf_dir, "documents"), encoder, SEQUENCE, end_id=1)
+    pieces = saved(
+        pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"),
+        "pieces",
+    )
+    return pack(pieces, SEQUENCE)
+
+
+def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = partial(byte_tokens.encode, path=vocabulary("byte_bpe_50k.json"))
+    folder = working_folder(spark, "tokens")
+    write_token_files(read_table(spark, sf_dir, "documents"), folder, encoder, end_id=0)
+    return read_token_files(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_simple8b": op7_simple8b,
 }
 
 ORACLE_SQL = {
