@@ -7,6 +7,8 @@ import numpy as np
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A value for each byte, and the odd base of the polynomial hash with its inverse mod 2^64.
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The same for code points; those beyond 0xFFFF share the last.
+POINT_VALUES = _rng.integers(1, 2**63, 0x10001, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 PIECE = 1 << 20
@@ -36,8 +38,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; the spans are in order and do not overlap.
+def span_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_VALUES
+) -> np.ndarray:
+    """A 64-bit hash of each span of ``data``, whose values ``table`` maps to 64 bits.
+
+    The starts are in order, and so are the ends.
 
     The spans are hashed in pieces of about a megabyte, so memory does not grow with the text.
     """
@@ -48,7 +54,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         first, last = int(starts[at]), int(ends[to - 1])
         n = last - first
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data[first:last]] * _power(BASE, n), out=sums[1:])
+        np.cumsum(table[data[first:last]] * _power(BASE, n), out=sums[1:])
         s, e = starts[at:to] - first, ends[at:to] - first
         back = _power(INVERSE, n + 1)
         out[at:to] = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64)

@@ -7,8 +7,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_tokens
-from tidemark.llm.common import saved
+from tidemark.llm import byte_tokens, language_filters, toxic_segments
+from tidemark.llm.common import held_out, saved
 
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.minhash_dedup import near_duplicates
@@ -74,6 +74,27 @@ FROM n
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxic_segments.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = toxic_segments.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    filters = language_filters.fit(docs)
+    return language_filters.predict(docs.select("doc_id", "text"), filters).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -104,7 +125,9 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simple8b": op7_simple8b,
 }
