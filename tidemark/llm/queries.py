@@ -14,6 +14,7 @@ from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack, pieces_of
 from tidemark.llm.simple8b import read_token_files, write_token_files
+from tidemark.llm.word_lexicon import encode_and_decode
 from tidemark.session import working_folder
 from tidemark.sources.tables import read_table
 
@@ -123,6 +124,17 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_and_decode(docs, vocabulary("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
@@ -130,6 +142,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simple8b": op7_simple8b,
+    "op10_word_lexicon": op10_word_lexicon,
 }
 
 ORACLE_SQL = {
