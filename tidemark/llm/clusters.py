@@ -41,6 +41,21 @@ def block_pairs(members: DataFrame, group: Column, tasks: int) -> DataFrame:
     return paired.withColumn("task", task).drop("_other", "members")
 
 
+def bucket_pairs(keys: DataFrame, payload: DataFrame, id_col: str, rows: int, tasks: int) -> DataFrame:
+    """The documents of every key that several have, each with its payload, to compare by task.
+
+    ``keys`` has ``key`` and the id, ``payload`` the id once. Keys of one document go nowhere.
+    """
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    buckets = (
+        keys.join(shared, "key")
+        .withColumn("blocks", F.ceil(F.col("members") / rows).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+        .join(payload, id_col)
+    )
+    return block_pairs(buckets, F.col("key"), tasks)
+
+
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal keys together, and where each run of equal keys starts (and the end)."""
     order = np.lexsort(keys[::-1])

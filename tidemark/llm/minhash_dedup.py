@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import (
     block_pairs,
+    bucket_pairs,
     edge_table,
     fixed_width,
     forest,
@@ -113,16 +114,9 @@ def near_duplicates(
     several = saved(several, "representatives")
 
     keys = several.mapInArrow(_keyed, "key bigint, doc_id bigint")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     tasks = max(partitions, -(-total * len(KEYS) // (4 * TASK_ROWS)))
-    buckets = (
-        keys.join(shared, "key")
-        .withColumn("blocks", F.ceil(F.col("members") / KEY_BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .join(several, "doc_id")
-    )
     near = (
-        block_pairs(buckets, F.col("key"), tasks)
+        bucket_pairs(keys, several, "doc_id", KEY_BLOCK, tasks)
         .select("task", "key", "i", "j", "doc_id", "signature")
         .groupBy("task")
         .applyInArrow(_near, "a bigint, b bigint")

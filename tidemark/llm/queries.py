@@ -11,6 +11,7 @@ from tidemark.llm import byte_tokens, language_filters, toxic_segments
 from tidemark.llm.common import held_out, saved
 
 from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.lattice_dedup import near_vectors
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack, pieces_of
 from tidemark.llm.simple8b import read_token_files, write_token_files
@@ -124,6 +125,31 @@ def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+# The cosine in double precision; sums of the products in DuckDB may differ in the last bit.
+LATTICE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN n USING (vec_id)
+"""
+
+
 def op10_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_and_decode(docs, vocabulary("word_bpe_49k.json"))
@@ -142,10 +168,12 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simple8b": op7_simple8b,
+    "op8_lattice_dedup": op8_lattice_dedup,
     "op10_word_lexicon": op10_word_lexicon,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": MINHASH_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
+    "op8_lattice_dedup": LATTICE_SQL,
 }
