@@ -15,6 +15,7 @@ from tidemark.llm.lattice_dedup import near_vectors
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack, pieces_of
 from tidemark.llm.simple8b import read_token_files, write_token_files
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.word_lexicon import encode_and_decode
 from tidemark.session import working_folder
 from tidemark.sources.tables import read_table
@@ -150,6 +151,18 @@ FROM least LEFT JOIN n USING (vec_id)
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    result = remove_repeats(docs, length=50)
+    return result.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept_bytes")).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op10_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_and_decode(docs, vocabulary("word_bpe_49k.json"))
@@ -169,6 +182,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simple8b": op7_simple8b,
     "op8_lattice_dedup": op8_lattice_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_word_lexicon": op10_word_lexicon,
 }
 
