@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, numbers, string_buffer, text_pieces
+from tidemark.llm.common import held_out, numbers, saved, string_buffer, text_pieces
 from tidemark.llm.hashing import POINT_VALUES, mix, span_hashes
 from tidemark.llm.language_filters import LOWER
 from tidemark.llm.pretokens import LETTER, UNSAFE, Text
@@ -132,15 +132,17 @@ def fit(
         docs[id_col].cast("bigint").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
     )
-    training = texts.filter(~held_out()).join(marked.hint("shuffle_hash"), "doc_id").select("text", "toxic")
+    # Written once: the texts are shuffled for the join, and three steps read the result.
+    training = saved(
+        texts.filter(~held_out()).join(marked.hint("shuffle_hash"), "doc_id").select("text", "toxic"),
+        "training",
+    )
     counts = (
         training.mapInArrow(_counted, "unit bigint, toxic bigint, clean bigint")
         .groupBy("unit")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     )
     # Unit 0 holds the number of tokens and unit 1 that of documents.
-    from tidemark.llm.common import saved
-
     counts = saved(counts, "token-counts")
     sums = {r["unit"]: r for r in counts.filter("unit IN (0, 1)").collect()}
     if 1 not in sums or sums[1]["toxic"] == 0:
