@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_tokens, language_filters, toxic_segments
+from tidemark.llm import byte_tokens, language_filters, licence_scan, toxic_segments
 from tidemark.llm.common import held_out, saved
 
 from tidemark.llm.exact_dedup import exact_groups
@@ -59,6 +59,11 @@ FROM least LEFT JOIN n USING (doc_id)
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licence_scan.licences(docs, licence_scan.fit(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -179,6 +184,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simple8b": op7_simple8b,
     "op8_lattice_dedup": op8_lattice_dedup,
