@@ -50,15 +50,21 @@ RUNS = [("doc", np.int64), ("row", np.int64), ("start", np.int64), ("count", np.
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    length: int = 50,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    as_text: bool = False,
 ) -> DataFrame:
     """All columns of ``docs`` with ``n_bytes``, ``removed`` and ``kept_bytes``.
 
     ``removed`` lists the maximal removed stretches (start and end in bytes of the UTF-8 text),
-    ``kept_bytes`` are the other bytes. Columns of ``docs`` with one of these names, or beginning
-    with an underscore, are left out.
+    ``kept_bytes`` are the other bytes. With ``as_text`` they are a string, without the bytes of
+    characters that were cut apart. Columns of ``docs`` with one of these names, or beginning with
+    an underscore, are left out.
     """
     columns = [c for c in docs.columns if not c.startswith("_") and c not in ("n_bytes", "removed", "kept_bytes")]
+    kept_kind = "string" if as_text else "binary"
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(
         *(docs[c] for c in columns),
@@ -115,13 +121,13 @@ def remove_repeats(
         as_answers.select("block", "id", F.col("kind"), F.col("more").alias("data"))
     )
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    extra = "n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept_bytes binary"
-    result = texts.cogroup(final.groupBy("block")).applyInArrow(_cut(length, columns), f"{shape}, {extra}")
+    extra = f"n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept_bytes {kept_kind}"
+    result = texts.cogroup(final.groupBy("block")).applyInArrow(_cut(length, columns, as_text), f"{shape}, {extra}")
     unnamed = source.filter(F.col("_id").isNull()).select(
         *columns,
         F.octet_length("_text").cast("bigint").alias("n_bytes"),
         F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("removed"),
-        F.col("_text").cast("binary").alias("kept_bytes"),
+        F.col("_text").cast(kept_kind).alias("kept_bytes"),
     )
     return result.union(unnamed)
 
@@ -546,7 +552,7 @@ def _first_byte(differ: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cut(length: int, columns: list[str]):
+def _cut(length: int, columns: list[str], as_text: bool):
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         table, ids, prints, offsets, data = _text_rows(left)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -575,10 +581,11 @@ def _cut(length: int, columns: list[str]):
                 parts.append(text[at:a].tobytes())
                 at = b
             parts.append(text[at:].tobytes())
-            kept.append(b"".join(parts))
+            whole = b"".join(parts)
+            kept.append(whole.decode("utf-8", "ignore") if as_text else whole)
             removed.append([{"start": a, "end": b} for a, b in found])
         return pa.table(
-            [*(table.column(c) for c in columns), pa.array(size), pa.array(removed, kind), pa.array(kept, pa.binary())],
+            [*(table.column(c) for c in columns), pa.array(size), pa.array(removed, kind), pa.array(kept, pa.string() if as_text else pa.binary())],
             names=[*columns, "n_bytes", "removed", "kept_bytes"],
         )
 
