@@ -55,12 +55,13 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     as_text: bool = False,
+    hot_blocks: int = HOT_BLOCKS,
 ) -> DataFrame:
     """All columns of ``docs`` with ``n_bytes``, ``removed`` and ``kept_bytes``.
 
     ``removed`` lists the maximal removed stretches (start and end in bytes of the UTF-8 text),
     ``kept_bytes`` are the other bytes. With ``as_text`` they are a string, without the bytes of
-    characters that were cut apart. Columns of ``docs`` with one of these names, or beginning with
+    characters that were cut apart. An anchor that ``hot_blocks`` blocks have is hot. Columns of ``docs`` with one of these names, or beginning with
     an underscore, are left out.
     """
     columns = [c for c in docs.columns if not c.startswith("_") and c not in ("n_bytes", "removed", "kept_bytes")]
@@ -103,7 +104,7 @@ def remove_repeats(
         texts.cogroup(copies.groupBy("_block"))
         .applyInArrow(_anchors(length, anchor_owners), "block bigint, owner bigint, code binary, several binary")
     )
-    answers = messages.groupBy("owner").applyInArrow(_answers, "block bigint, owner bigint, kind int, id bigint, data binary, more binary")
+    answers = messages.groupBy("owner").applyInArrow(_answers(hot_blocks), "block bigint, owner bigint, kind int, id bigint, data binary, more binary")
     as_answers = copies.select(
         F.col("_block").alias("block"), F.lit(0).cast("bigint").alias("owner"), F.lit(COPY).alias("kind"),
         F.col("_id").alias("id"), F.lit(None).cast("binary").alias("data"),
@@ -248,26 +249,30 @@ ANSWER = pa.schema(
 )
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def _answers(hot_blocks: int):
     """For each block's list: the repeated anchors among it, and which of these are hot."""
-    lists = [golomb.decode(code) for code in table.column("code").to_pylist()]
-    values, which, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(one) for one in lists])
-    data, more = [], []
-    for one, end, several in zip(lists, ends.tolist(), table.column("several").to_pylist()):
-        at = which[end - len(one) : end]
-        inside = np.unpackbits(np.frombuffer(several, np.uint8))[: len(one)].astype(bool)
-        repeated = inside | (counts[at] > 1)
-        data.append(golomb.encode(one[repeated]))
-        more.append(np.packbits(counts[at][repeated] >= HOT_BLOCKS).tobytes())
-    n = table.num_rows
-    return pa.table(
-        [
-            table.column("block"), table.column("owner"), pa.array([BITMAP] * n, pa.int32()),
-            pa.nulls(n, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary()),
-        ],
-        schema=ANSWER,
-    )
+
+    def group(table: pa.Table) -> pa.Table:
+        lists = [golomb.decode(code) for code in table.column("code").to_pylist()]
+        values, which, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(one) for one in lists])
+        data, more = [], []
+        for one, end, several in zip(lists, ends.tolist(), table.column("several").to_pylist()):
+            at = which[end - len(one) : end]
+            inside = np.unpackbits(np.frombuffer(several, np.uint8))[: len(one)].astype(bool)
+            repeated = inside | (counts[at] > 1)
+            data.append(golomb.encode(one[repeated]))
+            more.append(np.packbits(counts[at][repeated] >= hot_blocks).tobytes())
+        n = table.num_rows
+        return pa.table(
+            [
+                table.column("block"), table.column("owner"), pa.array([BITMAP] * n, pa.int32()),
+                pa.nulls(n, pa.int64()), pa.array(data, pa.binary()), pa.array(more, pa.binary()),
+            ],
+            schema=ANSWER,
+        )
+
+    return group
 
 
 def _copies_in(right: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
