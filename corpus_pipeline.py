@@ -28,41 +28,55 @@ END_OF_DOCUMENT = 1
 PASSAGE_BYTES = 50
 
 
+READ = ("doc_id", "text", "lang", "n_chars")
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The columns that stages read, and all others in one, so that no name can clash."""
+    rest = [F.col(c) for c in docs.columns if c not in READ]
+    return docs.select(*(c for c in docs.columns if c in READ), F.struct(F.lit(0).alias("none"), *rest).alias("rest"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return rows.select(*(F.col(c) if c in READ else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without letters, or of whose n-grams no language has any, go."""
-    filters = language_filters.fit(docs)
-    judged = language_filters.predict(docs, filters)
+    rows = wrapped(docs)
+    judged = language_filters.predict(rows, language_filters.fit(rows))
     known = (F.col("lang_pred") != language_filters.UNDETERMINED) & (F.col("score") > 0)
-    return judged.filter(known).select(*docs.columns)
+    return unwrapped(judged.filter(known), docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
-    groups = exact_groups(docs)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = wrapped(docs)
+    kept = exact_groups(rows).filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"))
     sha = F.sha2(normalised(F.coalesce("text", F.lit(""))), 256)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    return docs.withColumn("_own", sha).join(kept.hint("shuffle_hash"), same, "left_semi").select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("own") == F.col("sha"))
+    return unwrapped(rows.withColumn("own", sha).join(kept.hint("shuffle_hash"), same, "left_semi"), docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 and more."""
-    kept = near_duplicates(docs, width=5, percent=80).filter("kept").select("doc_id")
-    named = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    return named.union(docs.filter(F.col("doc_id").isNull()))
+    rows = wrapped(docs)
+    kept = near_duplicates(rows, width=5, percent=80).filter("kept").select("doc_id")
+    named = rows.join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    return unwrapped(named.select(*rows.columns).union(rows.filter(F.col("doc_id").isNull())), docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; documents left with nothing go."""
-    cut = remove_repeats(docs, length=PASSAGE_BYTES, as_text=True)
+    cut = remove_repeats(wrapped(docs), length=PASSAGE_BYTES, as_text=True)
     shorter = F.size("removed") > 0
     kept = cut.filter(~shorter | (F.col("kept_bytes") != ""))
     changed = {"text": F.when(shorter, F.col("kept_bytes")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(
-            shorter, F.char_length("kept_bytes").cast(docs.schema["n_chars"].dataType)
-        ).otherwise(F.col("n_chars"))
-    return kept.withColumns(changed).select(*docs.columns)
+        length = F.char_length("kept_bytes").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(shorter, length).otherwise(F.col("n_chars"))
+    return unwrapped(kept.withColumns(changed), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

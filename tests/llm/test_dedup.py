@@ -1,0 +1,245 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+from tests.compare import assert_same
+from tests.llm.data import awkward, documents, empty, shingles, smallest_reachable
+from tidemark.llm import clusters, minhash_dedup, queries, suffix_dedup
+from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.suffix_dedup import deep_shallow, remove_repeats
+
+SQL = sorted(queries.ORACLE_SQL)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+@pytest.mark.parametrize("name", SQL)
+def test_matches_sql(spark, name, folder):
+    result = __spark_entry__.queries()[name](spark, folder)
+    assert assert_same(result, __spark_entry__.oracle_sql()[name], folder) > 0
+
+
+def test_exact_groups(spark):
+    rows = awkward()
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[norm(t)].append(i)
+    expected = Counter()
+    for i, t, _ in rows:
+        members = groups[norm(t)]
+        least = min((m for m in members if m is not None), default=None)
+        keep = i if len(members) == 1 else least
+        sha = hashlib.sha256(norm(t).encode()).hexdigest()
+        expected[(i, keep, len(members), i == keep, sha)] += 1
+    found = exact_groups(documents(spark, rows))
+    assert found.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert Counter(tuple(r) for r in found.collect()) == expected
+
+
+def test_exact_groups_with_a_hot_text(spark):
+    rows = [(i, "same  text" if i % 3 else f"text {i // 6}", "aa") for i in range(900)]
+    found = {r["doc_id"]: r for r in exact_groups(documents(spark, rows)).collect()}
+    assert len(found) == 900
+    assert sum(r["kept"] for r in found.values()) == 1 + 150
+    assert found[898]["group_size"] == 600 and found[898]["keep_id"] == 1
+
+
+def brute_components(rows, width: int) -> dict[int, tuple]:
+    sets = {}
+    for i, t, _ in rows:
+        sets.setdefault(i, set()).add(shingles(t, width))
+    flat = [(i, s) for i, some in sets.items() if i is not None for s in some if s]
+    links = [
+        (a, b) for (a, s), (b, t) in combinations(flat, 2)
+        if 100 * len(s & t) >= 80 * len(s | t)
+    ]
+    return smallest_reachable([i for i in sets if i is not None], links)
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates(spark, width):
+    rows = awkward(n=200)
+    found = near_duplicates(documents(spark, rows), width=width)
+    expected = brute_components(rows, width)
+    kept = [r for r in found.collect()]
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _, _ in rows if i is not None)
+    sizes = {i: len(shingles(t, width)) for i, t, _ in rows}
+    for r in kept:
+        assert r["component_id"] == expected[r["doc_id"]]
+        assert r["n_shingles"] == sizes[r["doc_id"]]
+        assert r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def near_copies(n: int, seed: int) -> list[tuple]:
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(r.randrange(5)):
+            copy[r.randrange(80)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "aa"))
+    return rows
+
+
+@pytest.mark.parametrize("blocks", [16, 4096])
+def test_near_duplicates_in_blocks(spark, monkeypatch, blocks):
+    """A large family, whole and cut into pairs of small blocks, against all pairs."""
+    monkeypatch.setattr(minhash_dedup, "KEY_BLOCK", blocks)
+    monkeypatch.setattr(minhash_dedup, "FAMILY_BLOCK", blocks)
+    rows = near_copies(150, 3)
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows), width=4).collect()}
+    assert found == brute_components(rows, 4)
+
+
+def test_signature_threshold_keeps_similar_pairs():
+    """Pairs at a similarity of exactly 0.8 stay within the distance."""
+    r = np.random.default_rng(1)
+    worst = 0
+    for _ in range(400):
+        shared, own = r.integers(0, 2**63, 400, dtype=np.uint64), r.integers(0, 2**63, 100, dtype=np.uint64)
+        a = hashing_sets([np.concatenate([shared, own[:50]]), np.concatenate([shared, own[50:]])])
+        worst = max(worst, int((a[0] != a[1]).sum()))
+    assert worst <= minhash_dedup.MAX_ERRORS
+
+
+def hashing_sets(sets):
+    flat = np.concatenate([np.sort(s) for s in sets])
+    begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    return minhash_dedup.signatures(flat, begin)
+
+
+def test_pigeonhole_keys_find_every_pair_within_the_distance():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        wrong = set(r.choice(minhash_dedup.SYMBOLS, minhash_dedup.MAX_ERRORS, replace=False).tolist())
+        assert any(not wrong & set(kept) for kept in minhash_dedup.KEYS)
+
+
+def test_search_reaches_what_all_pairs_reach():
+    r = np.random.default_rng(3)
+    symbols = r.integers(0, 2, (60, minhash_dedup.SYMBOLS)).astype(np.uint8)
+    close = (symbols[:, None] != symbols[None, :]).sum(axis=2) <= minhash_dedup.MAX_ERRORS
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(close)) if a < b]
+    found = [(a, int(b)) for a, some in minhash_dedup._search(symbols) for b in some]
+    assert smallest_reachable(list(range(60)), found) == smallest_reachable(list(range(60)), links)
+
+
+def test_linked_pairs_in_column_slices():
+    r = random.Random(2)
+    sets = [np.array(sorted(r.sample(range(60), r.randint(20, 60))), np.uint64) for _ in range(30)]
+    block = np.array([i % 2 for i in range(30)])
+    for split in (False, True):
+        of = block if split else np.zeros(30, int)
+        expected = {
+            (i, j) for i, j in combinations(range(30), 2)
+            if (of[i] != of[j] or not split)
+            and 100 * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= 80 * len({*sets[i].tolist()} | {*sets[j].tolist()})
+        }
+        found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in minhash_dedup.linked_pairs(sets, of, 80, columns=7)))}
+        assert found == expected
+
+
+def brute_spans(rows, length: int) -> dict:
+    first: dict[bytes, int] = {}
+    named = sorted(((i, (t or "").encode()) for i, t, _ in rows if i is not None))
+    for i, t in named:
+        for k in range(len(t) - length + 1):
+            first.setdefault(t[k : k + length], i)
+    out = Counter()
+    for i, t in [(i, (t or "").encode()) for i, t, _ in rows]:
+        gone = bytearray(len(t))
+        if i is not None:
+            for k in range(len(t) - length + 1):
+                if first[t[k : k + length]] < i:
+                    gone[k : k + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[(i, len(t), sum(gone), spans, kept)] += 1
+    return out
+
+
+@pytest.mark.parametrize("hot_blocks", [1, 1024])
+def test_repeated_passages(spark, hot_blocks):
+    rows = awkward(n=160) + [(35, "another text of a repeated id " * 4, "aa"), (50, "another text of a repeated id " * 4, "aa")]
+    result = remove_repeats(documents(spark, rows), length=50, hot_blocks=hot_blocks)
+    assert "source" in result.columns and "_text" not in result.columns
+    found = Counter()
+    for r in result.collect():
+        spans = [(s["start"], s["end"]) for s in r["removed"]]
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        found[(r["doc_id"], r["n_bytes"], sum(b - a for a, b in spans), len(spans), bytes(r["kept_bytes"]))] += 1
+    assert found == brute_spans(rows, 50)
+
+
+def test_repeated_passages_as_text_drop_cut_characters(spark):
+    rows = [(1, "é" * 60, "aa"), (2, "x" + "é" * 40 + "y", "aa")]
+    result = {r["doc_id"]: r["kept_bytes"] for r in remove_repeats(documents(spark, rows), as_text=True).collect()}
+    assert result == {1: "é" * 60, 2: "xy"}
+
+
+@pytest.mark.parametrize("length", [17, 33, 50])
+def test_deep_shallow_sorts(length):
+    r = np.random.default_rng(length)
+    for _ in range(30):
+        base = r.integers(97, 99, 64).astype(np.uint8)
+        strings = []
+        for _ in range(int(r.integers(1, 200))):
+            s = base[:length].copy()
+            s[r.integers(0, length, int(r.integers(0, 3)))] = r.integers(97, 100)
+            strings.append(s.tobytes())
+        group = r.integers(0, 3, len(strings))
+        data = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
+        leaf = deep_shallow(data, np.arange(len(strings)) * length, length, group)
+        ranked = {}
+        for g, s, k in zip(group.tolist(), strings, leaf.tolist()):
+            assert ranked.setdefault((g, s), k) == k
+        assert [ranked[k] for k in sorted(ranked)] == sorted(ranked.values())
+        assert len(set(ranked.values())) == len(ranked)
+
+
+def test_anchor_runs_do_not_depend_on_pieces(monkeypatch):
+    r = np.random.default_rng(0)
+    data = r.integers(97, 100, 4000).astype(np.uint8)
+    offsets = np.array([0, 30, 1000, 1000, 2500, 4000])
+
+    def anchors():
+        runs = suffix_dedup.window_runs(data, offsets, np.array([0, 1, 2, 4]), 50)
+        return {
+            (int(row), int(s) + k): int(a)
+            for row, s, n, a in zip(runs["row"], runs["start"], runs["count"], runs["anchor"]) for k in range(int(n))
+        }
+
+    whole = anchors()
+    assert set(whole) == {(1, k) for k in range(30, 951)} | {(4, k) for k in range(2500, 3951)}
+    monkeypatch.setattr(suffix_dedup, "PIECE", 333)
+    assert anchors() == whole
+
+
+@pytest.mark.parametrize("operator", [exact_groups, near_duplicates, remove_repeats])
+def test_empty_table(spark, operator):
+    assert operator(empty(spark)).count() == 0
+
+
+def test_block_pairs_cover_all_pairs(spark):
+    members = spark.range(70).select(F.col("id"), F.lit(1).alias("family"))
+    cut = clusters.with_blocks(members, "family", "id", 10, 70)
+    rows = clusters.block_pairs(cut, F.col("family"), 4).collect()
+    tasks = defaultdict(set)
+    for r in rows:
+        tasks[(r["task"], r["i"], r["j"])].add((r["id"], r["block"]))
+    pairs = Counter(
+        (a, b) for (_, i, j), some in tasks.items() for (a, p), (b, q) in combinations(sorted(some), 2)
+        if (p == q) == (i == j)
+    )
+    assert set(pairs) == set(combinations(range(70), 2)) and set(pairs.values()) == {1}

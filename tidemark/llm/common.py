@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import working_folder
 
@@ -37,6 +38,11 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def with_columns_of(frame: DataFrame, added: str) -> StructType:
+    """The schema of ``frame``, with that of nested columns as it is, and the added columns."""
+    return StructType([*frame.schema.fields, *StructType.fromDDL(added).fields])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The third of all documents that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -133,7 +139,7 @@ def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return root
 
 
-def text_pieces(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text; a longer text is a slice of its own."""
     offsets, _ = string_buffer(batch.column(column))
     start = 0

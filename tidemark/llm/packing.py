@@ -29,7 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents_of, numbers, saved, shuffle_partitions, text_pieces
+from tidemark.llm.common import (
+    documents_of,
+    numbers,
+    saved,
+    shuffle_partitions,
+    text_pieces,
+    with_columns_of,
+)
 from tidemark.llm.simple8b import Encoder
 
 UNITS = 256
@@ -111,9 +118,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     numbered = saved(
         sized.repartitionByRange(shuffle_partitions(spark), "class", "doc_id", "start")
         .sortWithinPartitions("class", "doc_id", "start")
-        .mapInArrow(
-            _numbered, _ddl(sized) + ", part int, number bigint"
-        ),
+        .mapInArrow(_numbered, with_columns_of(sized, "part int, number bigint")),
         "numbered",
     )
     earlier = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +133,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         .withColumn("rank", F.col("number") + F.col("ahead"))
         .drop("number", "ahead", "part")
     )
-    placed = placed.mapInArrow(places.find, _ddl(placed) + ", sequence_id bigint")
+    placed = placed.mapInArrow(places.find, with_columns_of(placed, "sequence_id bigint"))
     filled = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank")
     so_far = filled.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.withColumn(
@@ -136,10 +141,6 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     ).select(*pieces.columns, "sequence_id", "offset")
 
 
-def _ddl(frame: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-
-
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the rows of each class within the partition, which is in order of classes."""
     part, seen, last = TaskContext.get().partitionId(), 0, None

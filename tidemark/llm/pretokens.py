@@ -162,7 +162,7 @@ class SeenWords:
     changes no result.
     """
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.size = 1 << (2 * most - 1).bit_length()
         self.clear()

@@ -35,16 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import golomb
-from tidemark.llm.common import join_uneven, numbers, saved, shuffle_partitions, string_buffer
+from tidemark.llm.common import (
+    join_uneven,
+    numbers,
+    saved,
+    shuffle_partitions,
+    string_buffer,
+    with_columns_of,
+)
 from tidemark.llm.hashing import BASE, BYTE_VALUES, INVERSE, _power, mix
 
 GRAM = 24
-BLOCK_BYTES = 4 << 20
-PIECE = 1 << 20
+BLOCK_BYTES = 2 << 20
+PIECE = 1 << 18
 OWNER_BYTES = 16 << 20
 HOT_BLOCKS = 1024
 SHALLOW = 2  # eight-byte characters
-CHUNK_STRINGS = 400_000
+CHUNK_STRINGS = 100_000
 
 RUNS = [("doc", np.int64), ("row", np.int64), ("start", np.int64), ("count", np.int64), ("anchor", np.uint64)]
 
@@ -121,9 +128,9 @@ def remove_repeats(
     final = removed.union(
         as_answers.select("block", "id", F.col("kind"), F.col("more").alias("data"))
     )
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    extra = f"n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept_bytes {kept_kind}"
-    result = texts.cogroup(final.groupBy("block")).applyInArrow(_cut(length, columns, as_text), f"{shape}, {extra}")
+    added = f"n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept_bytes {kept_kind}"
+    shape = with_columns_of(docs.select(*columns), added)
+    result = texts.cogroup(final.groupBy("block")).applyInArrow(_cut(length, columns, as_text), shape)
     unnamed = source.filter(F.col("_id").isNull()).select(
         *columns,
         F.octet_length("_text").cast("bigint").alias("n_bytes"),

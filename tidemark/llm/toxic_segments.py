@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, numbers, saved, string_buffer, text_pieces
+from tidemark.llm.common import held_out, numbers, saved, string_buffer, text_pieces, with_columns_of
 from tidemark.llm.hashing import POINT_VALUES, mix, span_hashes
 from tidemark.llm.language_filters import LOWER
 from tidemark.llm.pretokens import LETTER, UNSAFE, Text
@@ -427,10 +427,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     texts = docs.withColumn("_text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
     texts = texts.select(*(docs[c] for c in kept), "_text")
     passage = "array<struct<start: int, end: int, score: double>>"
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("_text").schema]
-        + ["score double", f"passages {passage}"]
-    )
+    schema = with_columns_of(texts.drop("_text"), f"score double, passages {passage}")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

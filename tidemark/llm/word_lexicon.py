@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.byte_tokens import tokenizer
-from tidemark.llm.common import saved, string_buffer, text_pieces
+from tidemark.llm.common import saved, string_buffer, text_pieces, with_columns_of
 from tidemark.llm.hashing import POINT_VALUES, span_hashes
 from tidemark.llm.pretokens import SeenWords, Text, gather, small_letters, word_level
 from tidemark.session import working_folder
@@ -350,10 +350,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text")
     name = publish(spark, Transducer.compile(words, [exact.ids(w) for w in words]))
     texts = docs.withColumn("_text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
     texts = texts.select(*(docs[c] for c in kept), "_text")
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.drop("_text").schema]
-        + ["ids binary", "decoded string"]
-    )
+    schema = with_columns_of(texts.drop("_text"), "ids binary, decoded string")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (name, vocabulary)
@@ -361,7 +358,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, text_col: str = "text")
             _coders.clear()
             _coders[key] = Coder(name, vocabulary)
         for whole in batches:
-            for batch in text_pieces(whole, "_text", 4 << 20):
+            for batch in text_pieces(whole, "_text"):
                 rows = list(_coders[key].encode(batch.column("_text")))
                 yield pa.RecordBatch.from_arrays(
                     [
