@@ -71,10 +71,10 @@ def test_running_totals(spark, rows, rows_per_task):
 def test_last_seen(spark, rows, rows_per_task):
     rows, df = frame(spark, rows)
     expected = set()
-    for group in by_user(rows).values():
+    for user, group in by_user(rows).items():
         latest = None
         for r in group:
-            latest = r[0] if r[3] else latest
+            latest = r[0] if r[3] and user is not None else latest
             expected.add((r[0], latest))
     found = last_seen(df, "user_id", ["ts", "id"], "offers", ["id", "ts"], rows_per_task)
     found = found.select("id", "seen.id").collect()
@@ -165,6 +165,25 @@ def test_top_k(spark, rows, k):
     assert {tuple(r) for r in found.select("id", "rank").collect()} == expected
 
 
+@pytest.mark.parametrize("threshold", ["1000", "-1"])
+@pytest.mark.parametrize("k", [3, 5000])
+def test_top_k_of_any_size(spark, k, threshold):
+    """Also beyond what Spark limits before the shuffle, and where that is switched off."""
+    rows = spark.range(9000).select(
+        F.col("id"), F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id") % 50).alias("g")
+    )
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", threshold)
+    try:
+        found = top_k_per_group(rows, ["g"], [F.desc("id")], k).collect()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    groups = defaultdict(list)
+    for i in range(8999, -1, -1):
+        groups[1 if i % 3 else i % 50].append(i)
+    expected = {(i, n) for some in groups.values() for n, i in enumerate(some[:k], 1)}
+    assert {(r.id, r["rank"]) for r in found} == expected and len(found) == len(expected)
+
+
 @few
 @given(row_lists, row_lists)
 def test_matches(spark, rows, others):
@@ -207,6 +226,20 @@ def test_exact_sum(spark, units):
     assert int(df.agg(exact_sum(F.col("units"))).first()[0]) == sum(units)
 
 
+def test_exact_sum_of_many_large_numbers(spark):
+    n, unit = 2**22, 2**62
+    total = spark.range(n).agg(exact_sum(F.lit(unit))).first()[0]
+    assert int(total) == n * unit
+    assert int(spark.range(n).agg(exact_sum(F.lit(-unit))).first()[0]) == -n * unit
+
+
+@pytest.mark.parametrize("amount", [1.005, 0.1 + 0.2, 1 / 3, float("nan"), float("inf"), 1e16])
+def test_amounts_that_are_no_hundredths_are_refused(spark, amount):
+    df = spark.createDataFrame([(1.25,), (amount,)], "amount double")
+    with pytest.raises(Exception, match="amount is no whole number of hundredths"):
+        df.select(hundredths("amount")).collect()
+
+
 @few
 @given(st.lists(st.integers(-(10**11), 10**11), min_size=1, max_size=30))
 def test_amounts_survive_as_hundredths(spark, cents):

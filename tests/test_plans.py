@@ -6,12 +6,12 @@ import re
 
 import pytest
 
-import __spark_entry__
 from tidemark.operators.top_k import top_k_per_group
-from tidemark.plans import event_time, relational
+from tidemark.plans import all_queries, event_time, relational
 from tidemark.sources.tables import read_table
 
-BATCH = [name for name in __spark_entry__.queries() if not name.startswith("stream_")]
+QUERIES = {query.name: query.run for query in all_queries()}
+BATCH = [name for name in QUERIES if not name.startswith("stream_")]
 
 
 def plan_of(result) -> str:
@@ -25,14 +25,14 @@ def scans(plan: str) -> list[set[str]]:
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cross_joins_no_python(spark, data, name):
-    plan = plan_of(__spark_entry__.queries()[name](spark, data))
+    plan = plan_of(QUERIES[name](spark, data))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "InPandas"):
         assert word not in plan
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_shuffle_to_a_single_task(spark, data, name):
-    assert "SinglePartition" not in plan_of(__spark_entry__.queries()[name](spark, data))
+    assert "SinglePartition" not in plan_of(QUERIES[name](spark, data))
 
 
 def test_pricing_summary_reads_little(spark, data):
@@ -78,10 +78,10 @@ def test_top_k_is_limited_before_the_shuffle(spark, data):
     assert re.search(r"Exchange hashpartitioning\(o_custkey.*\n.*WindowGroupLimit.* Partial", plan)
 
 
-def test_top_k_refuses_what_it_cannot_limit(spark, data):
+def test_top_k_beyond_sparks_limit_ranks_parts_first(spark, data):
     orders = read_table(spark, data, "orders")
-    with pytest.raises(ValueError, match="windowGroupLimitThreshold"):
-        top_k_per_group(orders, ["o_custkey"], [orders["o_orderkey"]], 1_000_000)
+    plan = plan_of(top_k_per_group(orders, ["o_custkey"], [orders["o_orderkey"]], 5000))
+    assert len(re.findall(r"\+- Window ", plan)) == 2 and "_part" in plan
 
 
 @pytest.mark.parametrize(
@@ -116,29 +116,47 @@ def test_set_operations_read_and_shuffle_once(spark, data, query):
     assert "In(event_type, [error,purchase])" in plan
 
 
-def test_as_of_reads_the_events_once(spark, data):
-    plan = plan_of(event_time.last_click_before_purchase(spark, data))
-    assert len(scans(plan)) == 1
-    assert "In(event_type, [click,purchase])" in plan
-    assert plan.count("Exchange") == 1
-    # What is looked up is put together after the shuffle.
-    assert plan.index("struct(event_id") < plan.index("Exchange")
+ORDERED = [event_time.running_value_per_user, event_time.last_click_before_purchase]
 
 
-@pytest.mark.parametrize(
-    "query", [event_time.running_value_per_user, event_time.last_click_before_purchase]
-)
-def test_cut_keys_are_shuffled_by_slice(spark, data, query):
-    """One shuffle of all rows by key and slice; the slice summaries are broadcast."""
+@pytest.mark.parametrize("query", ORDERED)
+@pytest.mark.parametrize("rows_per_task", [20, 500_000])
+def test_ordered_queries_have_one_path(spark, data, query, rows_per_task):
+    """All rows are shuffled once, by key and slice, and no summary is made by sorting rows."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(query(spark, data, rows_per_task=20))
+        plan = plan_of(query(spark, data, rows_per_task=rows_per_task))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # The rows, and the rows' summaries.
-    assert len(re.findall(r"Exchange hashpartitioning\(user_id#\d+L, _slice#\d+", plan)) == 2
-    # The hot keys, and the summaries.
-    assert plan.count("BroadcastExchange") == 2
-    assert "SortMergeJoin" not in plan and "SinglePartition" not in plan
-    # Done once, before, and written.
-    assert "rangepartitioning" not in plan
+    assert "SortAggregate" not in plan and "rangepartitioning" not in plan
+    assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
+    top = plan.split("ReusedExchange")[0]
+    windows = [line for line in top.splitlines() if "Window [" in line]
+    assert windows
+
+
+@pytest.mark.parametrize("query", ORDERED)
+def test_ordered_queries_do_nothing_while_built(spark, data, query):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(query.__name__, "")
+    query(spark, data, rows_per_task=20)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Only the schema of the table is read, in a job of its own.
+    assert len(tracker.getJobIdsForGroup(query.__name__)) <= 1
+
+
+def test_as_of_filter_reaches_all_scans(spark, data):
+    plan = plan_of(event_time.last_click_before_purchase(spark, data))
+    assert plan.count("In(event_type, [click,purchase])") == len(scans(plan))
+    assert len(scans(plan)) <= 20  # before Spark reuses what is equal
+
+
+@pytest.mark.parametrize("query", ORDERED)
+def test_nothing_to_cut_reads_the_events_twice(spark, data, query):
+    """Once to count the keys and once for the rows, when no key is large."""
+    result = query(spark, data)
+    result.collect()
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(scans(final)) <= 3, final

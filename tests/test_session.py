@@ -1,0 +1,36 @@
+"""Working folders."""
+
+from __future__ import annotations
+
+import logging
+from pathlib import Path
+
+from tidemark import session
+from tidemark.plans.streams import stream_tumbling_counts
+from tidemark.session import remove_working_folders, working_folder
+
+
+def test_nothing_is_left(spark, data):
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    remove_working_folders(spark)
+    before = {str(p) for p in base.rglob("*") if p.is_file()}
+    stream_tumbling_counts(spark, data).collect()
+    made = list(session._folders)
+    assert made and any(p.is_file() for p in base.rglob("*") if str(p) not in before)
+    remove_working_folders(spark)
+    assert not session._folders and not any(Path(folder).exists() for folder in made)
+    assert {str(p) for p in base.rglob("*") if p.is_file()} == before
+
+
+def test_machine_local_folder_is_said(spark, caplog, monkeypatch):
+    class Unset:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with caplog.at_level(logging.WARNING):
+        folder = working_folder(Unset, "x")
+    assert "spark.checkpoint.dir is not set" in caplog.text
+    assert folder.startswith(session._folders[-2])
+    remove_working_folders(spark)

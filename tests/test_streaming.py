@@ -8,11 +8,14 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from tidemark.plans import streams as streams_module
 from tidemark.plans.event_time import HOUR, SESSION_GAP, TUMBLE, event_sums, flat_window
 from tidemark.sources.tables import follow_table
 from tidemark.streaming.events import (
+    _latest_copies,
     deduplicated_stream,
     session_stream,
     sliding_stream,
@@ -288,3 +291,41 @@ def test_nulls_and_large_keys_are_told_apart(spark, streams, feed, tmp_path):
     ids = [row.event_id for row in read_output(spark, stream, location).collect()]
     expected = [i for (i,) in feed.con.sql("SELECT DISTINCT event_id FROM sent").fetchall()]
     assert len(ids) == len(expected) and set(ids) == set(expected)
+
+
+@pytest.mark.parametrize("name", ["tumbling_counts", "sliding_counts", "user_sessions"])
+def test_registered_streams_take_a_table_in_steps(spark, feed, name, monkeypatch):
+    """Several data batches, the same result as one, and state smaller than the input."""
+    for day in range(1, 31, 3):
+        feed.send(f"SELECT * FROM given WHERE dayofmonth(ts) BETWEEN {day} AND {day + 2} ORDER BY ts")
+    seen = []
+
+    def run_and_look(stream, location):
+        query = start_available(stream, location)
+        query.awaitTermination()
+        seen.append([p for p in query.recentProgress if p.numInputRows])
+
+    monkeypatch.setattr(streams_module, "run_available", run_and_look)
+    run = getattr(streams_module, f"stream_{name}")
+    results = [
+        Counter(tuple(r) for r in run(spark, feed.folder, files_per_trigger=n).collect())
+        for n in (2, 256)
+    ]
+    assert results[0] == results[1] and results[0]
+    assert len(seen[0]) == 5 and len(seen[1]) == 1
+    total = len(feed.con.sql("SELECT event_id FROM sent").fetchall())
+    assert max(p.stateOperators[0].numRowsTotal for p in seen[0]) < total / 2
+    stores = seen[0][0].stateOperators[0].numShufflePartitions
+    assert stores <= streams_module.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+def test_copies_in_many_batches_leave_a_task_few_times():
+    batches = [
+        pa.record_batch([pa.array([7] * 99 + [100 + n]), pa.array(range(n, n + 100))], ["event_id", "ts"])
+        for n in range(300)
+    ]
+    out = list(_latest_copies("event_id", "ts", held_rows=100)(iter(batches)))
+    rows = [(i, t) for b in out for i, t in zip(b["event_id"].to_pylist(), b["ts"].to_pylist())]
+    hot = [t for i, t in rows if i == 7]
+    assert len(hot) <= 4 and max(hot) == 299 + 98
+    assert sorted(i for i, _ in rows if i != 7) == list(range(100, 400))

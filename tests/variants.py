@@ -25,12 +25,31 @@ VARIANTS = {
     },
     # Events in no order, with negative amounts.
     "shuffled": {
-        "events": "SELECT * REPLACE (value - 100 AS value) FROM events ORDER BY hash(event_id)",
+        "events": "SELECT * REPLACE (CAST(CAST(value AS DECIMAL(12,2)) - 100 AS DOUBLE) AS value)"
+        " FROM events ORDER BY hash(event_id)",
     },
     # Over a change of the clocks in zones that have one.
     "march": {
         "events": "SELECT * REPLACE (ts + INTERVAL 60 DAY AS ts) FROM events",
     },
+    # Events without a time, a user or a value.
+    "null_ts": {
+        "events": "SELECT * REPLACE (CASE WHEN event_id % 10 > 0 THEN ts END AS ts) FROM events",
+    },
+    "null_user": {
+        "events": "SELECT * REPLACE (CASE WHEN event_id % 10 > 0 THEN user_id END AS user_id)"
+        " FROM events",
+    },
+    "null_value": {
+        "events": "SELECT * REPLACE (CASE WHEN event_id % 3 > 0 THEN value END AS value)"
+        " FROM events",
+    },
+    # Half of the events, and all of one user's, at one instant.
+    "burst": {
+        "events": "SELECT * REPLACE (CASE WHEN event_id % 2 = 0 OR user_id = 7"
+        " THEN TIMESTAMP '2024-01-15 12:00:00' ELSE ts END AS ts,"
+        " CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS user_id) FROM events",
+    },
     # One user alone.
     "single": {
         "events": "SELECT * REPLACE (3::BIGINT AS user_id) FROM events",

@@ -13,33 +13,39 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LOWER_BITS = 20
+PART_BITS = 20
 
 
 def hundredths(column: str) -> Column:
-    return F.rint(F.col(column) * 100).cast("bigint")
+    """The amount in hundredths. An amount that is not a whole number of them ends the job.
 
-
-def net_price() -> Column:
-    """Price of a line item after its discount, in units of 0.0001."""
-    return hundredths("l_extendedprice") * (100 - hundredths("l_discount"))
-
-
-def gross_price() -> Column:
-    """Price of a line item after its discount and with its tax, in units of 0.000001."""
-    return net_price() * (100 + hundredths("l_tax"))
+    Nothing is rounded away: a whole number of hundredths, divided by 100, is the nearest double
+    to the amount and so the stored one, and any other double differs from it. Not-a-number
+    and infinite amounts end the job as well; null stays null.
+    """
+    amount = F.col(column)
+    units = F.rint(amount * 100)
+    message = F.concat(F.lit(f"{column} is no whole number of hundredths: "), amount.cast("string"))
+    return (
+        F.when(amount.isNull(), F.lit(None).cast("bigint"))
+        .when(~F.isnan(amount) & (F.abs(units) < 2**53) & (units / 100 == amount), units.cast("bigint"))
+        .otherwise(F.raise_error(message).cast("bigint"))
+    )
 
 
 def exact_sum(units: Column) -> Column:
-    """Sum of whole units, as a decimal, that may be beyond a bigint.
+    """Sum of any whole units, as a decimal, that may be beyond a bigint.
 
-    The upper and lower bits are summed apart as bigints, which holds for up to 2^43 rows,
-    and are put together once per group: decimals in the sum itself would cost more per
-    row and more bytes in the shuffle.
+    Three parts of the number are summed apart as bigints and put together once per group:
+    decimals in the sum itself would cost more per row and more bytes in the shuffle. The
+    upper part of a bigint has 24 bits, so each sum holds for up to 2^39 rows.
     """
-    upper = F.sum(F.shiftright(units, LOWER_BITS))
-    lower = F.sum(units.bitwiseAND(F.lit(2**LOWER_BITS - 1)))
-    return upper.cast("decimal(20,0)") * F.lit(2**LOWER_BITS) + lower
+    mask = F.lit(2**PART_BITS - 1)
+    upper = F.sum(F.shiftright(units, 2 * PART_BITS))
+    middle = F.sum(F.shiftright(units, PART_BITS).bitwiseAND(mask))
+    lower = F.sum(units.bitwiseAND(mask))
+    step = F.lit(2**PART_BITS)
+    return (upper.cast("decimal(20,0)") * step + middle) * step + lower
 
 
 def as_amount(units: Column | str, places: int) -> Column:

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slices import ROWS_PER_TASK, SLICE, add_carry, slice_hot_groups
+from tidemark.operators.slices import (
+    ROWS_PER_TASK,
+    SLICES,
+    add_carry,
+    in_order,
+    slice_hot_groups,
+)
 
 
 def running_totals(
@@ -17,13 +23,14 @@ def running_totals(
 ) -> DataFrame:
     """Add ``running_n``, ``running_sum`` and ``running_max`` of ``value`` up to each row.
 
-    ``order`` must be unique per key. ``value`` should be an integer or a decimal; sums
-    of doubles would depend on where a large key was cut.
+    ``order`` must be unique per key; rows without a value in it come first. Rows without a key
+    are a group of their own. ``value`` should be an integer or a decimal; sums of doubles would
+    depend on where a large key was cut. Nulls in it count in ``running_n`` and nowhere else.
     """
     sliced = slice_hot_groups(rows, key, order, rows_per_task)
     so_far = (
         Window.partitionBy(*sliced.by)
-        .orderBy(*order)
+        .orderBy(*in_order(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = sliced.rows.withColumns(
@@ -33,29 +40,25 @@ def running_totals(
             "running_max": F.max(value).over(so_far),
         }
     )
-    if sliced.hot is None:
-        return local.drop(SLICE)
-
     earlier = (
-        Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
-        sliced.hot.groupBy(key, SLICE)
+        sliced.hot.groupBy(*sliced.by)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(value).alias("total"),
             F.max(value).alias("largest"),
         )
         .select(
-            key,
-            SLICE,
+            *sliced.by,
             F.sum("n").over(earlier).alias("_n"),
             F.sum("total").over(earlier).alias("_sum"),
             F.max("largest").over(earlier).alias("_max"),
         )
     )
     total_type = local.schema["running_sum"].dataType
-    return add_carry(local, key, carry).select(
+    return add_carry(local, sliced.by, carry).select(
         *rows.columns,
         (F.col("running_n") + F.coalesce("_n", F.lit(0))).alias("running_n"),
         # Null as long as no value was seen, in earlier slices or in this one.

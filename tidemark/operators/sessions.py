@@ -24,8 +24,12 @@ def sessions(
     Two events in the same slot of ``gap`` seconds are less than ``gap`` apart and so
     always share a session. Adding up each slot first, partly before the shuffle, leaves
     at most (time span / gap) rows per key for the window, however many events a key has.
+    That is what bounds a task: with a gap of seconds over years a key may have hundreds of
+    millions of slots, and ``gap`` should then be longer or the events taken by year.
+
+    An event without a time is in no session. Events without a key are those of one key.
     """
-    slots = events.groupBy(key, slot_start(ts, gap).alias("_slot")).agg(
+    slots = events.filter(F.col(ts).isNotNull()).groupBy(key, slot_start(ts, gap).alias("_slot")).agg(
         F.min(ts).alias("_first"),
         F.max(ts).alias("_last"),
         *(total.alias(name) for name, total in sums.items()),

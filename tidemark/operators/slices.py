@@ -1,87 +1,135 @@
 """Ordered per-key work on keys too large for one task.
 
-A window over ``partitionBy(key)`` puts all rows of a key into one task. Here the rows
-of an oversized key are cut into slices that follow each other in the wanted order, so
-that a window over ``(key, slice)`` stays small. What a slice needs to know about the
-earlier ones is computed from one summary row per slice and joined back.
+A window over ``partitionBy(key)`` puts all rows of a key into one task. Here every row gets
+three slice numbers that rise with the wanted order, so that a window over the key and the slices
+stays small. What a slice needs to know about the earlier ones is computed from one summary row
+per slice and joined back.
+
+The slice numbers are a fixed function of a row's place between the first and the last value of its
+group, so they are the same whenever the plan runs. Nothing is sampled, collected or written, and
+inputs of all sizes take the same path.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import working_folder
-
-SLICE = "_slice"
-WHOLE = -1  # slice number of every row whose key was not cut
-
 ROWS_PER_TASK = 500_000
 
-# Fewer than MAX_HOT_KEYS keys can each have more than 1/MAX_HOT_KEYS of all rows.
-# Together with MAX_SLICES this bounds everything that is broadcast below.
-MAX_HOT_KEYS = 50_000
-MAX_SLICES = 20_000
+#: Slices per ``rows_per_task`` rows: values are not spread evenly, so more are cut than needed.
+FINER = 4
+
+SLICES = ["_slice", "_part", "_tie"]
 
 
 @dataclass(frozen=True)
 class SlicedRows:
-    rows: DataFrame  # all rows, with a slice number
+    rows: DataFrame  # all rows, with slice numbers
     by: list[str]  # the columns whose groups are small enough for one task
-    hot: DataFrame | None = None  # the rows of the oversized keys alone, if there are any
+    hot: DataFrame  # the rows of the keys that were cut
+
+
+def in_order(order: list[str]) -> list[Column]:
+    """The order columns, rows without a value first."""
+    return [F.asc_nulls_first(c) for c in order]
 
 
 def slice_hot_groups(
-    rows: DataFrame,
-    key: str,
-    order: list[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    rows: DataFrame, key: str, order: list[str], rows_per_task: int = ROWS_PER_TASK
 ) -> SlicedRows:
-    """Number the rows so that no ``(key, slice)`` has many more than ``rows_per_task``.
+    """Number the rows so that groups of key and slices are small.
 
-    ``order`` must end in a column that makes it unique per key, or equal rows could not
-    be told apart and cut. ``rows`` is read several times, so it should be a plain scan.
+    ``order`` must be unique per key; its columns are numbers, booleans or timestamps without a
+    zone. A key with more than ``rows_per_task`` rows is cut by the first order column in which
+    its rows differ: the stretch from the first to the last value is divided evenly into
+    ``FINER`` times as many slices as it would need. A slice that is still too large, a burst, is cut
+    between its own first and last value, and what is too large even then once more: by the next
+    column where all of its rows are at one time.
+
+    What is broadcast is one row per group that is cut; fewer than one in ``rows_per_task`` rows.
     """
-    whole = rows.withColumn(SLICE, F.lit(WHOLE))
-    total = rows.count()
-    if total <= rows_per_task:
-        return SlicedRows(whole, [key])
-
-    limit = max(rows_per_task, total // MAX_HOT_KEYS)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot_keys = counts.filter(F.col("n") > limit).collect()
-    if not hot_keys:
-        return SlicedRows(whole, [key])
-
-    spark = rows.sparkSession
-    keys = spark.createDataFrame([(r[key],) for r in hot_keys], rows.select(key).schema)
-    keys = F.broadcast(keys.withColumnRenamed(key, "_hot"))
-    is_hot = rows[key].eqNullSafe(keys["_hot"])
-    hot_total = sum(r["n"] for r in hot_keys)
-    n_slices = min(MAX_SLICES, -(-hot_total // rows_per_task))
-
-    # Range partitioning balances by sampled key and order values. Its boundaries are
-    # sampled anew whenever the plan runs, so the slice numbers are fixed by writing them.
-    folder = working_folder(spark, "slices")
-    (
-        rows.join(keys, is_hot, "left_semi")
-        .repartitionByRange(n_slices, key, *order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .write.parquet(folder)
+    hot, by, how = rows, [key], "inner"
+    for name in SLICES:
+        cuts = _cuts(hot, by, order, rows_per_task)
+        rows = _numbered(rows, by, order, cuts, name, "left")
+        # Only what was cut is looked at again.
+        hot = _numbered(hot, by, order, cuts, name, how)
+        by, how = [*by, name], "left"
+    return SlicedRows(rows, by, hot)
+
+
+def _cuts(rows: DataFrame, by: list[str], order: list[str], rows_per_task: int) -> DataFrame:
+    """The groups with too many rows, and how to divide each."""
+    n = F.col("_n")
+    ends = []
+    for i, column in enumerate(order):
+        value = _number(rows, column)
+        ends += [F.min(value).alias(f"_low{i}"), F.max(value).alias(f"_high{i}"), F.count(value).alias(f"_valued{i}")]
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).filter(n > rows_per_task)
+    which, low, high = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    for i in reversed(range(len(order))):
+        valued = F.col(f"_valued{i}")
+        differs = (valued > 0) & ((F.col(f"_low{i}") < F.col(f"_high{i}")) | (valued < n))
+        which = F.when(differs, F.lit(i)).otherwise(which)
+        low = F.when(differs, F.col(f"_low{i}")).otherwise(low)
+        high = F.when(differs, F.col(f"_high{i}")).otherwise(high)
+    return groups.select(
+        *(F.col(c).alias(f"_of{c}") for c in by),
+        which.alias("_which"),
+        low.alias("_low"),
+        high.alias("_high"),
+        F.ceil(n * FINER / rows_per_task).alias("_steps"),
+    ).filter(F.col("_which").isNotNull())
+
+
+def _numbered(
+    rows: DataFrame, by: list[str], order: list[str], cuts: DataFrame, name: str, how: str
+) -> DataFrame:
+    """Add the slice number; 0 in groups that are not cut and for rows without a value."""
+    same = F.lit(True)
+    for column in by:
+        same = same & F.col(column).eqNullSafe(F.col(f"_of{column}"))
+    value = F.lit(None).cast("double")
+    for i, column in enumerate(order):
+        value = F.when(F.col("_which") == i, _number(rows, column)).otherwise(value)
+    low, high, steps = F.col("_low"), F.col("_high"), F.col("_steps")
+    place = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+    number = 1 + F.least(F.floor(place * steps), steps - 1)
+    return (
+        rows.join(F.broadcast(cuts), same, how)
+        .withColumn(name, F.when(F.col("_which").isNull() | value.isNull(), F.lit(0)).otherwise(number))
+        .drop(*cuts.columns)
     )
-    hot = spark.read.schema(whole.schema).parquet(folder)
-    others = whole.join(keys, is_hot, "left_anti")
-    return SlicedRows(others.unionByName(hot), [key, SLICE], hot)
 
 
-def add_carry(local: DataFrame, key: str, carry: DataFrame) -> DataFrame:
+def _number(rows: DataFrame, column: str) -> Column:
+    """An order column as a number that rises with it."""
+    kind = rows.schema[column].dataType.typeName()
+    if kind == "timestamp_ntz":
+        # Through an interval: the functions that return a number go through the session's zone.
+        since = F.col(column) - F.lit("1970-01-01").cast("timestamp_ntz")
+
+        def part(unit: str) -> Column:
+            return F.extract(F.lit(unit), since)
+
+        minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+        return (minutes * 60).cast("double") + part("SECOND").cast("double")
+    if kind == "boolean":
+        return F.col(column).cast("int").cast("double")
+    return F.col(column).cast("double")
+
+
+def add_carry(local: DataFrame, by: list[str], carry: DataFrame) -> DataFrame:
     """Join to each row what ``carry`` holds for its slice; null where it holds nothing.
 
-    ``carry`` has at most one row per slice and one per hot key, which bounds the
-    broadcast.
+    ``carry`` has at most one row per slice. Both sides are partitioned by the same columns, the
+    rows already for the window before, and no slice is large.
     """
-    carry = carry.withColumnsRenamed({key: "_carry_key", SLICE: "_carry_slice"})
-    at = local[key].eqNullSafe(carry["_carry_key"]) & (local[SLICE] == carry["_carry_slice"])
-    return local.join(F.broadcast(carry), at, "left").drop("_carry_key", "_carry_slice")
+    carry = carry.withColumnsRenamed({c: f"_of{c}" for c in by})
+    at = F.lit(True)
+    for column in by:
+        at = at & local[column].eqNullSafe(carry[f"_of{column}"])
+    return local.join(carry, at, "left").drop(*(f"_of{c}" for c in by))

@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 def tumbling_totals(
     events: DataFrame, ts: str, width: int, by: list[str], sums: dict[str, Column]
 ) -> DataFrame:
-    """``sums`` per window of ``width`` seconds; windows are counted from the epoch."""
+    """``sums`` per window of ``width`` seconds; windows are counted from the epoch.
+
+    An event without a time is in no window.
+    """
     return (
-        events.groupBy(F.window(ts, f"{width} seconds").alias("window"), *by)
+        events.filter(F.col(ts).isNotNull())
+        .groupBy(F.window(ts, f"{width} seconds").alias("window"), *by)
         .agg(*(total.alias(name) for name, total in sums.items()))
     )
 

@@ -30,7 +30,7 @@ def event_sums() -> dict[str, Column]:
 
 
 EVENT_SUMS_SQL = """count(*) AS n_events,
-       CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total_value"""
+       CAST(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DECIMAL(38,2)) AS DOUBLE) AS total_value"""
 
 
 def running_value_per_user(
@@ -54,10 +54,10 @@ def running_value_per_user(
 RUNNING_VALUE_PER_USER_SQL = """
 SELECT event_id, user_id, ts,
        count(*) OVER so_far AS running_n,
-       CAST(sum(CAST(value AS DECIMAL(12,2))) OVER so_far AS DOUBLE) AS running_value,
-       CAST(max(CAST(value AS DECIMAL(12,2))) OVER so_far AS DOUBLE) AS running_max
+       CAST(CAST(sum(CAST(value AS DECIMAL(18,6))) OVER so_far AS DECIMAL(38,2)) AS DOUBLE) AS running_value,
+       CAST(CAST(max(CAST(value AS DECIMAL(18,6))) OVER so_far AS DECIMAL(38,2)) AS DOUBLE) AS running_max
 FROM events
-WINDOW so_far AS (PARTITION BY user_id ORDER BY ts, event_id
+WINDOW so_far AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
@@ -88,7 +88,8 @@ def sliding_event_counts(spark: SparkSession, folder: str) -> DataFrame:
 TUMBLING_EVENT_COUNTS_SQL = f"""
 SELECT window_start, window_start + INTERVAL {TUMBLE} SECOND AS window_end, event_type,
        {EVENT_SUMS_SQL}
-FROM (SELECT *, time_bucket(INTERVAL {TUMBLE} SECOND, ts) AS window_start FROM events)
+FROM (SELECT *, time_bucket(INTERVAL {TUMBLE} SECOND, ts) AS window_start FROM events
+      WHERE ts IS NOT NULL)
 GROUP BY window_start, event_type
 """
 SLIDING_EVENT_COUNTS_SQL = f"""
@@ -96,7 +97,7 @@ SELECT window_start, window_start + INTERVAL {SLIDE_WIDTH} SECOND AS window_end,
        {EVENT_SUMS_SQL}
 FROM (SELECT *, time_bucket(INTERVAL {SLIDE} SECOND, ts)
              - unnest(range({SLIDE_WIDTH // SLIDE})) * INTERVAL {SLIDE} SECOND AS window_start
-      FROM events)
+      FROM events WHERE ts IS NOT NULL)
 GROUP BY window_start, event_type
 """
 
@@ -112,10 +113,10 @@ USER_SESSIONS_SQL = f"""
 WITH marked AS (
   SELECT user_id, ts, value,
          CASE WHEN ts - lag(ts) OVER w <= INTERVAL {SESSION_GAP} SECOND THEN 0 ELSE 1 END AS starts
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+  FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)
 ), numbered AS (
-  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts
-                              ROWS UNBOUNDED PRECEDING) AS session_no
+  -- Up to and with all events of the same time, in whatever order they were marked.
+  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS session_no
   FROM marked
 )
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end,
@@ -158,7 +159,7 @@ def last_click_before_purchase(
 LAST_CLICK_BEFORE_PURCHASE_SQL = """
 WITH clicks AS (
   SELECT user_id, ts, max(event_id) AS event_id
-  FROM events WHERE event_type = 'click' GROUP BY user_id, ts
+  FROM events WHERE event_type = 'click' AND ts IS NOT NULL GROUP BY user_id, ts
 ), purchases AS (
   SELECT * FROM events WHERE event_type = 'purchase'
 )
@@ -170,10 +171,13 @@ FROM purchases p ASOF LEFT JOIN clicks c ON p.user_id = c.user_id AND p.ts >= c.
 
 
 def props_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals per event type and ``k`` of the JSON properties, with subtotals."""
-    events = read_table(spark, folder, "events").select(
-        "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"), "value"
-    )
+    """Totals per event type and ``k`` of the JSON properties, with subtotals.
+
+    A ``k`` that is no whole number of up to nine digits counts as none.
+    """
+    k = F.get_json_object("props", "$.k")
+    whole = F.when(k.rlike("^-?[0-9]{1,9}$"), k).cast("int")
+    events = read_table(spark, folder, "events").select("event_type", whole.alias("k"), "value")
     return rollup_totals(events, ["event_type", "k"], event_sums()).withColumn(
         "total_value", as_amount("total_value", 2)
     )
@@ -182,7 +186,10 @@ def props_rollup(spark: SparkSession, folder: str) -> DataFrame:
 PROPS_ROLLUP_SQL = f"""
 SELECT event_type, k, CAST(GROUPING(event_type, k) AS BIGINT) AS level,
        {EVENT_SUMS_SQL}
-FROM (SELECT event_type, CAST(props->>'$.k' AS INTEGER) AS k, value FROM events)
+FROM (SELECT event_type, value,
+             CAST(CASE WHEN regexp_full_match(props->>'$.k', '-?[0-9]{{1,9}}')
+                       THEN props->>'$.k' END AS INTEGER) AS k
+      FROM events)
 GROUP BY ROLLUP (event_type, k)
 """
 
@@ -207,9 +214,11 @@ def user_days_purchase_or_error(spark: SparkSession, folder: str) -> DataFrame:
 
 def _user_days_sql(set_operator: str) -> str:
     return f"""
-SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events WHERE event_type = 'purchase'
+SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events
+WHERE event_type = 'purchase' AND ts IS NOT NULL
 {set_operator}
-SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events WHERE event_type = 'error'
+SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events
+WHERE event_type = 'error' AND ts IS NOT NULL
 """
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.exact import as_amount, exact_sum, gross_price, hundredths, net_price
+from tidemark.functions.exact import as_amount, exact_sum, hundredths
 from tidemark.operators.joins import totals_by_key, with_match, without_match
 from tidemark.operators.subtotals import cube_totals, grouping_set_totals, rollup_totals
 from tidemark.operators.top_k import top_k_per_group
@@ -16,6 +16,16 @@ LAST_SHIP_DATE = "1998-09-02"
 TOP_K = 3
 
 
+def net_price() -> Column:
+    """Price of a line item after its discount, in units of 0.0001."""
+    return hundredths("l_extendedprice") * (100 - hundredths("l_discount"))
+
+
+def gross_price() -> Column:
+    """Price of a line item after its discount and with its tax, in units of 0.000001."""
+    return net_price() * (100 + hundredths("l_tax"))
+
+
 def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
     shipped = F.col("l_shipdate") <= F.lit(LAST_SHIP_DATE).cast("timestamp_ntz")
     totals = (
@@ -48,21 +58,21 @@ def pricing_summary(spark: SparkSession, folder: str) -> DataFrame:
 PRICING_SUMMARY_SQL = f"""
 WITH items AS (
   SELECT l_returnflag, l_linestatus,
-         CAST(l_quantity AS DECIMAL(12,2)) AS qty,
-         CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
-         CAST(l_discount AS DECIMAL(3,2)) AS discount,
-         CAST(1 - CAST(l_discount AS DECIMAL(3,2)) AS DECIMAL(4,2)) AS kept,
-         CAST(1 + CAST(l_tax AS DECIMAL(3,2)) AS DECIMAL(4,2)) AS taxed
+         CAST(l_quantity AS DECIMAL(15,5)) AS qty,
+         CAST(l_extendedprice AS DECIMAL(24,5)) AS price,
+         CAST(l_discount AS DECIMAL(6,5)) AS discount,
+         CAST(1 - CAST(l_discount AS DECIMAL(6,5)) AS DECIMAL(7,5)) AS kept,
+         CAST(1 + CAST(l_tax AS DECIMAL(6,5)) AS DECIMAL(7,5)) AS taxed
   FROM lineitem WHERE l_shipdate <= TIMESTAMP '{LAST_SHIP_DATE} 00:00:00'
 )
 SELECT l_returnflag, l_linestatus,
-       CAST(sum(qty) AS DOUBLE) AS sum_qty,
-       CAST(sum(price) AS DOUBLE) AS sum_base_price,
-       CAST(sum(price * kept) AS DOUBLE) AS sum_disc_price,
-       CAST(sum(price * kept * taxed) AS DOUBLE) AS sum_charge,
-       CAST(sum(qty) AS DOUBLE) / count(*) AS avg_qty,
-       CAST(sum(price) AS DOUBLE) / count(*) AS avg_price,
-       CAST(sum(discount) AS DOUBLE) / count(*) AS avg_disc,
+       CAST(CAST(sum(qty) AS DECIMAL(38,2)) AS DOUBLE) AS sum_qty,
+       CAST(CAST(sum(price) AS DECIMAL(38,2)) AS DOUBLE) AS sum_base_price,
+       CAST(CAST(sum(price * kept) AS DECIMAL(38,4)) AS DOUBLE) AS sum_disc_price,
+       CAST(CAST(sum(price * kept * taxed) AS DECIMAL(38,6)) AS DOUBLE) AS sum_charge,
+       CAST(CAST(sum(qty) AS DECIMAL(38,2)) AS DOUBLE) / count(*) AS avg_qty,
+       CAST(CAST(sum(price) AS DECIMAL(38,2)) AS DOUBLE) / count(*) AS avg_price,
+       CAST(CAST(sum(discount) AS DECIMAL(38,2)) AS DOUBLE) / count(*) AS avg_disc,
        count(*) AS n_items
 FROM items GROUP BY l_returnflag, l_linestatus
 """
@@ -102,8 +112,9 @@ def revenue_by_nation(spark: SparkSession, folder: str) -> DataFrame:
 REVENUE_BY_NATION_SQL = """
 SELECT r_name, n_name,
        count(DISTINCT o_orderkey) AS n_orders,
-       CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))
-                * CAST(1 - CAST(l_discount AS DECIMAL(3,2)) AS DECIMAL(4,2))) AS DOUBLE) AS revenue
+       CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(24,5))
+                     * CAST(1 - CAST(l_discount AS DECIMAL(6,5)) AS DECIMAL(7,5)))
+            AS DECIMAL(38,4)) AS DOUBLE) AS revenue
 FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey
@@ -193,7 +204,7 @@ def _customers_sql(grouping: str) -> str:
 SELECT c_nationkey, c_mktsegment,
        CAST(GROUPING(c_nationkey, c_mktsegment) AS BIGINT) AS level,
        count(*) AS n_customers,
-       CAST(sum(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) AS balance
+       CAST(CAST(sum(CAST(c_acctbal AS DECIMAL(18,6))) AS DECIMAL(38,2)) AS DOUBLE) AS balance
 FROM customer GROUP BY {grouping}
 """
 

@@ -2,6 +2,11 @@
 
 The results hold what was final when the input ended. Their SQL says the same with a
 condition on the latest event: it must be at least the watermark's delay past the row.
+
+A table of more than ``FILES_PER_TRIGGER`` part files is taken in steps, so that the state holds
+what is open and not the whole input. For the results to be those of the SQL, the part files,
+in the order in which they were written, must then be in order of event time to within the delay.
+Events without a time cannot be placed in that order and are left out.
 """
 
 from __future__ import annotations
@@ -35,28 +40,39 @@ from tidemark.streaming.events import (
 from tidemark.streaming.run import read_output, run_available, stream_session
 
 DELAY = HOUR
+FILES_PER_TRIGGER = 256
+STORES_PER_CORE = 2
 
 
 def _to_end(
     spark: SparkSession, name: str, build: Callable[[SparkSession], DataFrame]
 ) -> DataFrame:
-    stream = build(stream_session(spark))
+    # Each state store is opened and saved in every step: two per core, not one per shuffle task.
+    stores = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        STORES_PER_CORE * spark.sparkContext.defaultParallelism,
+    )
+    stream = build(stream_session(spark, state_partitions=stores))
     location = working_folder(spark, name)
     run_available(stream, location)
     return read_output(spark, stream, location)
 
 
-def stream_tumbling_counts(spark: SparkSession, folder: str) -> DataFrame:
+def stream_tumbling_counts(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
     def build(session: SparkSession) -> DataFrame:
-        events = follow_table(session, folder, "events")
+        events = follow_table(session, folder, "events", files_per_trigger)
         return flat_window(tumbling_stream(events, DELAY, TUMBLE, ["event_type"], event_sums()))
 
     return _to_end(spark, "stream_tumbling_counts", build)
 
 
-def stream_sliding_counts(spark: SparkSession, folder: str) -> DataFrame:
+def stream_sliding_counts(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
     def build(session: SparkSession) -> DataFrame:
-        events = follow_table(session, folder, "events")
+        events = follow_table(session, folder, "events", files_per_trigger)
         return flat_window(
             sliding_stream(events, DELAY, SLIDE_WIDTH, SLIDE, ["event_type"], event_sums())
         )
@@ -64,21 +80,25 @@ def stream_sliding_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _to_end(spark, "stream_sliding_counts", build)
 
 
-def stream_user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+def stream_user_sessions(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
     def build(session: SparkSession) -> DataFrame:
-        events = follow_table(session, folder, "events")
+        events = follow_table(session, folder, "events", files_per_trigger)
         found = session_stream(events, DELAY, SESSION_GAP, "user_id", event_sums())
         return found.withColumn("total_value", as_amount("total_value", 2))
 
     return _to_end(spark, "stream_user_sessions", build)
 
 
-def stream_deduplicated_events(spark: SparkSession, folder: str) -> DataFrame:
+def stream_deduplicated_events(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
     """The event table delivered twice, as by a source that repeats itself, kept once."""
 
     def build(session: SparkSession) -> DataFrame:
-        first = follow_table(session, folder, "events")
-        again = follow_table(session, folder, "events")
+        first = follow_table(session, folder, "events", files_per_trigger)
+        again = follow_table(session, folder, "events", files_per_trigger)
         return deduplicated_stream(first.unionByName(again), DELAY, "event_id")
 
     return _to_end(spark, "stream_deduplicated_events", build)
@@ -108,5 +128,5 @@ QUERIES = [
         stream_user_sessions,
         _final_sql(USER_SESSIONS_SQL, f"session_end + INTERVAL {SESSION_GAP} SECOND"),
     ),
-    Query("stream_deduplicated_events", stream_deduplicated_events, "SELECT * FROM events"),
+    Query("stream_deduplicated_events", stream_deduplicated_events, "SELECT * FROM events WHERE ts IS NOT NULL"),
 ]

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+log = logging.getLogger(__name__)
+
+#: Folders made by this process that were not removed yet.
+_folders: list[str] = []
+
+
 def build_session(
     app_name: str = "tidemark",
     master: str | None = None,
@@ -40,11 +47,27 @@ def working_folder(spark: SparkSession, purpose: str) -> str:
 
     Every executor must be able to reach it, so that written intermediate tables
     outlive the executor that wrote them. A machine-local folder is used only where
-    the setting is absent and Spark itself is local, as in tests.
+    the setting is absent and Spark itself is local, as in tests, and the log says so.
+    ``remove_working_folders`` removes all of them once their results have been read.
     """
     parent = spark.conf.get("spark.checkpoint.dir", None)
     if not parent:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         parent = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{parent.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+        log.warning("spark.checkpoint.dir is not set: intermediate tables go to %s", parent)
+        _folders.append(parent)
+    folder = f"{parent.rstrip('/')}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    _folders.append(folder)
+    return folder
+
+
+def remove_working_folders(spark: SparkSession) -> None:
+    """Remove the folders that this process has made, with what is in them.
+
+    Results that are still to be read from them, and streams that are to be continued, are lost.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,10 @@ from tidemark.operators.time_windows import sliding_totals, tumbling_totals
 def with_event_time(events: DataFrame, delay: int) -> DataFrame:
     """Set the watermark ``delay`` seconds behind the latest event.
 
-    A watermark needs a timestamp with a time zone; the session's zone, UTC, is taken.
+    A watermark needs a timestamp with a time zone; the session's zone, UTC, is taken. Events
+    without a time are left out: the watermark can neither wait for them nor pass them.
     """
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark(
+    return events.filter(F.col("ts").isNotNull()).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark(
         "ts", f"{delay} seconds"
     )
 
@@ -66,32 +68,51 @@ def deduplicated_stream(events: DataFrame, delay: int, key: str) -> DataFrame:
     The state forgets a key when the watermark has passed it. Copies are thinned out
     before the shuffle, so that a key with very many of them does not fill one task.
     """
+    timed = events.filter(F.col("ts").isNotNull())
     return (
-        with_event_time(events.mapInArrow(_latest_copies(key, "ts"), events.schema), delay)
+        with_event_time(timed.mapInArrow(_latest_copies(key, "ts"), events.schema), delay)
         .dropDuplicatesWithinWatermark([key])
         .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     )
 
 
-def _latest_copies(key: str, ts: str) -> Callable[[Iterator], Iterator]:
-    """Keep one row per key of each Arrow batch.
+#: Rows that a task holds back to find copies among them.
+HELD_ROWS = 100_000
+
+
+def _latest_copies(key: str, ts: str, held_rows: int = HELD_ROWS) -> Callable[[Iterator], Iterator]:
+    """Keep one row per key of what a task holds back, over all its Arrow batches.
 
     It is the one with the latest time: if the watermark has passed that one, it has
-    passed the others, and no event gets lost with a copy that came too late.
+    passed the others, and no event gets lost with a copy that came too late. A task hands on
+    what it holds when there are ``held_rows`` different keys, so a key with very many copies
+    leaves it once per that many others and not once per batch.
     """
 
+    def latest(rows: pa.Table) -> pa.Table:
+        numbered = pa.table(
+            {"key": rows[key], "ts": rows[ts], "row": pa.array(np.arange(rows.num_rows))}
+        )
+        kept = (
+            numbered.sort_by([("ts", "descending")])
+            .group_by("key", use_threads=False)
+            .aggregate([("row", "first")])["row_first"]
+        )
+        return rows.take(kept) if len(kept) < rows.num_rows else rows
+
     def thin_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = None, 0
         for batch in batches:
-            rows = pa.table(
-                {"key": batch[key], "ts": batch[ts], "row": pa.array(range(batch.num_rows))}
-            )
-            kept = (
-                rows.sort_by([("ts", "descending")])
-                .group_by("key", use_threads=False)
-                .aggregate([("row", "first")])["row_first"]
-            )
-            if len(kept) < batch.num_rows:
-                batch = batch.take(kept.combine_chunks())
-            yield batch
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            waiting += batch.num_rows
+            # Looked through again only when as much has come as is held.
+            if waiting >= max(held_rows // 2, held.num_rows - waiting):
+                held, waiting = latest(held), 0
+                if held.num_rows >= held_rows:
+                    yield from held.to_batches()
+                    held = None
+        if held is not None:
+            yield from latest(held).to_batches()
 
     return thin_out
