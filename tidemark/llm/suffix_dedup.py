@@ -182,7 +182,9 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length:
         # Strings must end within their text.
         count = np.minimum(count, offsets[row + 1] - length + 1 - (start + at))
         use = (count > 0) & wanted[row]
-        parts.append((row[use], start[use] + at, count[use], grams[anchor[start[use]]] >> np.uint64(16)))
+        # Smallest hashes are small; mixed again, they spread evenly over the owners.
+        spread = mix(grams[anchor[start[use]]] + np.uint64(1)) >> np.uint64(16)
+        parts.append((row[use], start[use] + at, count[use], spread))
     if not parts:
         return {k: np.zeros(0, t) for k, t in RUNS if k != "doc"}
     row, start, count, anchor = (np.concatenate(p) for p in zip(*parts))
