@@ -84,31 +84,37 @@ def components(edges: DataFrame) -> DataFrame:
     edges of a step are written, and only their count and checksum come to the driver.
     """
     edges = saved(_oriented(edges.select("a", "b")), "edges")
-    last = None
+    state = _state(edges)
     while True:
+        total = 2 * state[0]
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).filter(F.col("b") > F.col("u"))
-        edges = _oriented(large.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = edges.join(least, edges["a"] == least["u"])
+        large = _with_least(both, total).filter(F.col("b") > F.col("a"))
+        edges = _oriented(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        small = _with_least(edges, total)
         edges = _oriented(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-                least.select(F.col("u").alias("a"), F.col("m").alias("b"))
+                small.select("a", F.col("m").alias("b"))
             )
         )
         edges = saved(edges, "edges")
-        state = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
+        last, state = state, _state(edges)
         if state == last:
             break
-        last = state
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("root"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots)
 
 
+def _state(edges: DataFrame) -> tuple:
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), checksum).first())
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Add ``m``, the smallest neighbour of each edge's ``a``, without bringing its edges together."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_uneven(edges, "a", least, "n", total)
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return (
