@@ -11,7 +11,7 @@ BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.
 POINT_VALUES = _rng.integers(1, 2**63, 0x10001, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
