@@ -16,7 +16,7 @@ PIECE = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     known = _powers.get(str(base))
     if known is None or len(known) < n:
         size = max(PIECE + 4096, n)
@@ -54,9 +54,9 @@ def span_hashes(
         first, last = int(starts[at]), int(ends[to - 1])
         n = last - first
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[data[first:last]] * _power(BASE, n), out=sums[1:])
+        np.cumsum(table[data[first:last]] * powers(BASE, n), out=sums[1:])
         s, e = starts[at:to] - first, ends[at:to] - first
-        back = _power(INVERSE, n + 1)
+        back = powers(INVERSE, n + 1)
         out[at:to] = (sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64)
         at = to
     return mix(out)

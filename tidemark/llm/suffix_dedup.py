@@ -43,7 +43,7 @@ from tidemark.llm.common import (
     string_buffer,
     with_columns_of,
 )
-from tidemark.llm.hashing import BASE, BYTE_VALUES, INVERSE, _power, mix
+from tidemark.llm.hashing import BASE, BYTE_VALUES, INVERSE, mix, powers
 
 GRAM = 24
 BLOCK_BYTES = 2 << 20
@@ -161,8 +161,8 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, length:
         if n < length:
             break
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[part] * _power(BASE, n), out=sums[1:])
-        grams = mix((sums[GRAM:] - sums[:-GRAM]) * _power(INVERSE, n - GRAM + 1))
+        np.cumsum(BYTE_VALUES[part] * powers(BASE, n), out=sums[1:])
+        grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(INVERSE, n - GRAM + 1))
         least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
         have = 1
         while have < width:
