@@ -51,75 +51,72 @@ def slice_hot_groups(
 
     What is broadcast is one row per group that is cut; fewer than one in ``rows_per_task`` rows.
     """
+    numbers = [f"{_number(rows, column)} AS _o{i}" for i, column in enumerate(order)]
+    rows = rows.selectExpr("*", *numbers)
     hot, by, how = rows, [key], "inner"
     for name in SLICES:
-        cuts = _cuts(hot, by, order, rows_per_task)
-        rows = _numbered(rows, by, order, cuts, name, "left")
+        cuts = _cuts(hot, by, len(order), rows_per_task)
+        rows = _numbered(rows, by, len(order), cuts, name, "left")
         # Only what was cut is looked at again.
-        hot = _numbered(hot, by, order, cuts, name, how)
+        hot = _numbered(hot, by, len(order), cuts, name, how)
         by, how = [*by, name], "left"
     return SlicedRows(rows, by, hot)
 
 
-def _cuts(rows: DataFrame, by: list[str], order: list[str], rows_per_task: int) -> DataFrame:
+# The plan of a query is built anew each time it runs; SQL text takes a fraction of the calls that
+# the same expressions take as columns.
+
+
+def _cuts(rows: DataFrame, by: list[str], n_order: int, rows_per_task: int) -> DataFrame:
     """The groups with too many rows, and how to divide each."""
-    n = F.col("_n")
-    ends = []
-    for i, column in enumerate(order):
-        value = _number(rows, column)
-        ends += [F.min(value).alias(f"_low{i}"), F.max(value).alias(f"_high{i}"), F.count(value).alias(f"_valued{i}")]
-    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *ends).filter(n > rows_per_task)
-    which, low, high = F.lit(None).cast("int"), F.lit(None).cast("double"), F.lit(None).cast("double")
-    for i in reversed(range(len(order))):
-        valued = F.col(f"_valued{i}")
-        differs = (valued > 0) & ((F.col(f"_low{i}") < F.col(f"_high{i}")) | (valued < n))
-        which = F.when(differs, F.lit(i)).otherwise(which)
-        low = F.when(differs, F.col(f"_low{i}")).otherwise(low)
-        high = F.when(differs, F.col(f"_high{i}")).otherwise(high)
-    return groups.select(
-        *(F.col(c).alias(f"_of{c}") for c in by),
-        which.alias("_which"),
-        low.alias("_low"),
-        high.alias("_high"),
-        F.ceil(n * FINER / rows_per_task).alias("_steps"),
-    ).filter(F.col("_which").isNotNull())
+    ends = [F.expr("count(1) AS _n")]
+    which = low = high = ""
+    for i in range(n_order):
+        ends += [F.expr(e) for e in (f"min(_o{i}) AS _low{i}", f"max(_o{i}) AS _high{i}", f"count(_o{i}) AS _valued{i}")]
+        differs = f"WHEN _valued{i} > 0 AND (_low{i} < _high{i} OR _valued{i} < _n) THEN"
+        which += f" {differs} {i}"
+        low += f" {differs} _low{i}"
+        high += f" {differs} _high{i}"
+    return (
+        rows.groupBy(*by)
+        .agg(*ends)
+        .filter(f"_n > {rows_per_task}")
+        .selectExpr(
+            *(f"`{c}` AS `_of{c}`" for c in by),
+            f"CASE {which} END AS _which",
+            f"CASE {low} END AS _low",
+            f"CASE {high} END AS _high",
+            f"ceil(_n * {FINER} / {rows_per_task}) AS _steps",
+        )
+        .filter("_which IS NOT NULL")
+    )
 
 
 def _numbered(
-    rows: DataFrame, by: list[str], order: list[str], cuts: DataFrame, name: str, how: str
+    rows: DataFrame, by: list[str], n_order: int, cuts: DataFrame, name: str, how: str
 ) -> DataFrame:
     """Add the slice number; 0 in groups that are not cut and for rows without a value."""
-    same = F.lit(True)
-    for column in by:
-        same = same & F.col(column).eqNullSafe(F.col(f"_of{column}"))
-    value = F.lit(None).cast("double")
-    for i, column in enumerate(order):
-        value = F.when(F.col("_which") == i, _number(rows, column)).otherwise(value)
-    low, high, steps = F.col("_low"), F.col("_high"), F.col("_steps")
-    place = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
-    number = 1 + F.least(F.floor(place * steps), steps - 1)
-    return (
-        rows.join(F.broadcast(cuts), same, how)
-        .withColumn(name, F.when(F.col("_which").isNull() | value.isNull(), F.lit(0)).otherwise(number))
-        .drop(*cuts.columns)
+    same = F.expr(" AND ".join(f"`{c}` <=> `_of{c}`" for c in by))
+    value = "CASE _which " + " ".join(f"WHEN {i} THEN _o{i}" for i in range(n_order)) + " END"
+    place = f"CASE WHEN _high > _low THEN ({value} - _low) / (_high - _low) ELSE 0D END"
+    number = f"1 + least(floor({place} * _steps), _steps - 1)"
+    return rows.join(F.broadcast(cuts), same, how).selectExpr(
+        *(f"`{c}`" for c in rows.columns),
+        f"CASE WHEN {value} IS NULL THEN 0L ELSE {number} END AS {name}",
     )
 
 
-def _number(rows: DataFrame, column: str) -> Column:
-    """An order column as a number that rises with it."""
+def _number(rows: DataFrame, column: str) -> str:
+    """SQL for an order column as a number that rises with it."""
     kind = rows.schema[column].dataType.typeName()
     if kind == "timestamp_ntz":
         # Through an interval: the functions that return a number go through the session's zone.
-        since = F.col(column) - F.lit("1970-01-01").cast("timestamp_ntz")
-
-        def part(unit: str) -> Column:
-            return F.extract(F.lit(unit), since)
-
-        minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
-        return (minutes * 60).cast("double") + part("SECOND").cast("double")
+        since = f"(`{column}` - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+        day, hour, minute, second = (f"extract({u} FROM {since})" for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
+        return f"double((({day} * 24L + {hour}) * 60 + {minute}) * 60) + double({second})"
     if kind == "boolean":
-        return F.col(column).cast("int").cast("double")
-    return F.col(column).cast("double")
+        return f"double(int(`{column}`))"
+    return f"double(`{column}`)"
 
 
 def add_carry(local: DataFrame, by: list[str], carry: DataFrame) -> DataFrame:
@@ -129,7 +126,4 @@ def add_carry(local: DataFrame, by: list[str], carry: DataFrame) -> DataFrame:
     rows already for the window before, and no slice is large.
     """
     carry = carry.withColumnsRenamed({c: f"_of{c}" for c in by})
-    at = F.lit(True)
-    for column in by:
-        at = at & local[column].eqNullSafe(carry[f"_of{column}"])
-    return local.join(carry, at, "left").drop(*(f"_of{c}" for c in by))
+    return local.join(carry, F.expr(" AND ".join(f"`{c}` <=> `_of{c}`" for c in by)), "left")
