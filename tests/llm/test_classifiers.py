@@ -242,6 +242,48 @@ def test_licence_pattern_leaves_no_notice_out(spark, licence_model):
     assert 701 not in by_id and by_id[700] == "reserved"
 
 
+def test_standard_notices_are_found_in_lines_and_over_lines(spark, licence_model):
+    """None of these texts is a template; each has one among other words or wrapped."""
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    )
+    gpl = (
+        "# Frobnicate is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public "
+        "License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    )
+    lgpl = (
+        " * This file is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General "
+        "Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your "
+        "option) any later version."
+    )
+    mpl = (
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+        "distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    )
+    apache = (
+        "Copyright 2024 Some Body Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file "
+        "except in compliance with the License. You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"
+    )
+    end = "The small tool reads tables from a folder and writes them again with fewer rows. It is licensed under the MIT License."
+    filler = " ".join(f"zo{k % 7}ra ve{k % 11}lo" for k in range(200))
+    texts = {
+        "MIT": [mit, end, f"{filler} {end} {filler}", f"{filler}\n\n{mit}\n\n{filler}"],
+        "GPL": [gpl, f"{filler}\n{gpl}\n{filler}"],
+        "LGPL": [lgpl],
+        "MPL-2.0": [mpl, mpl.replace("\n", " ")],
+        "Apache-2.0": [apache],
+    }
+    rows = [(k, text, "aa") for k, text in enumerate(t for some in texts.values() for t in some)]
+    found = licence_scan.licences(documents(spark, rows), licence_model).collect()
+    got = {r["doc_id"]: (r["families"], r["n_notices"]) for r in found}
+    assert got == {k: (f, 1) for k, f in enumerate(f for f, some in texts.items() for _ in some)}
+    at = licence_scan.notices(documents(spark, rows).drop("block"), licence_model).filter("doc_id = 5").first()
+    assert 0 <= at["number"] <= 4 and "Public" in at["paragraph"]
+
+
 def test_licence_query_runs_no_python(spark, data):
     found = __spark_entry__.queries()["op5_license_scan"](spark, data)
     plan = found._jdf.queryExecution().executedPlan().toString()
