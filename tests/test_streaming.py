@@ -319,6 +319,16 @@ def test_registered_streams_take_a_table_in_steps(spark, feed, name, monkeypatch
     assert stores <= streams_module.STORES_PER_CORE * spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("name", ["tumbling_counts", "sliding_counts", "user_sessions", "deduplicated_events"])
+def test_part_files_in_no_order_of_time_lose_nothing(spark, feed, name):
+    """Each part file holds events of the whole month, as after a shuffle by user."""
+    for k in range(6):
+        feed.send(f"SELECT * FROM given WHERE user_id % 6 = {k}")
+    run = getattr(streams_module, f"stream_{name}")
+    steps, one = (Counter(tuple(r) for r in run(spark, feed.folder, files_per_trigger=n).collect()) for n in (2, 256))
+    assert steps == one and one
+
+
 def test_copies_in_many_batches_leave_a_task_few_times():
     batches = [
         pa.record_batch([pa.array([7] * 99 + [100 + n]), pa.array(range(n, n + 100))], ["event_id", "ts"])

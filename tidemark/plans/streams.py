@@ -4,16 +4,20 @@ The results hold what was final when the input ended. Their SQL says the same wi
 condition on the latest event: it must be at least the watermark's delay past the row.
 
 A table of more than ``FILES_PER_TRIGGER`` part files is taken in steps, so that the state holds
-what is open and not the whole input. For the results to be those of the SQL, the part files,
-in the order in which they were written, must then be in order of event time to within the delay.
+what is open and not the whole input. The results are those of the SQL whatever the order of the part
+files: it is measured first, and a table with an event that a step might drop as late is taken in
+one step. If the state still dropped late rows, the run ends with a message.
 Events without a time cannot be placed in that order and are left out.
 """
 
 from __future__ import annotations
 
+import datetime
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.exact import as_amount
 from tidemark.plans.event_time import (
@@ -30,7 +34,7 @@ from tidemark.plans.event_time import (
 )
 from tidemark.plans.query import Query
 from tidemark.session import working_folder
-from tidemark.sources.tables import follow_table
+from tidemark.sources.tables import follow_table, read_table
 from tidemark.streaming.events import (
     deduplicated_stream,
     session_stream,
@@ -44,6 +48,37 @@ FILES_PER_TRIGGER = 256
 STORES_PER_CORE = 2
 
 
+def _step(spark: SparkSession, folder: str, files_per_trigger: int) -> int | None:
+    """``files_per_trigger`` if no event can come late in steps of so many files, else none (one step).
+
+    A stream takes files by their time of change, and those of one time in any order. So no event
+    may be more than the delay behind one of a file changed earlier or at the same time.
+    """
+    table = read_table(spark, folder, "events")
+    if len(table.inputFiles()) <= files_per_trigger:
+        return files_per_trigger
+    files = (
+        table.filter(F.col("ts").isNotNull())
+        .select("ts", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
+        .groupBy("file", "changed")
+        .agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+        .collect()  # one row per part file
+    )
+    together = Counter(f["changed"] for f in files)
+    spans: dict = {}
+    for f in files:
+        first, last = spans.get(f["changed"], (f["first"], f["last"]))
+        spans[f["changed"]] = (min(first, f["first"]), max(last, f["last"]))
+    delay, latest = datetime.timedelta(seconds=DELAY), None
+    for changed in sorted(spans):
+        first, last = spans[changed]
+        before = [t for t in (latest, last if together[changed] > 1 else None) if t is not None]
+        if before and first < max(before) - delay:
+            return None
+        latest = last if latest is None else max(latest, last)
+    return files_per_trigger
+
+
 def _to_end(
     spark: SparkSession, name: str, build: Callable[[SparkSession], DataFrame]
 ) -> DataFrame:
@@ -52,17 +87,25 @@ def _to_end(
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         STORES_PER_CORE * spark.sparkContext.defaultParallelism,
     )
-    stream = build(stream_session(spark, state_partitions=stores))
+    session = stream_session(spark, state_partitions=stores)
+    session.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")  # all, for the late rows
+    stream = build(session)
     location = working_folder(spark, name)
-    run_available(stream, location)
+    query = run_available(stream, location)
+    progress = query.recentProgress if query is not None else []
+    late = sum(state.numRowsDroppedByWatermark for p in progress for state in p.stateOperators)
+    if late:
+        raise ValueError(f"{name}: {late} rows came after the watermark had passed them and were dropped")
     return read_output(spark, stream, location)
 
 
 def stream_tumbling_counts(
     spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
+    step = _step(spark, folder, files_per_trigger)
+
     def build(session: SparkSession) -> DataFrame:
-        events = follow_table(session, folder, "events", files_per_trigger)
+        events = follow_table(session, folder, "events", step)
         return flat_window(tumbling_stream(events, DELAY, TUMBLE, ["event_type"], event_sums()))
 
     return _to_end(spark, "stream_tumbling_counts", build)
@@ -71,8 +114,10 @@ def stream_tumbling_counts(
 def stream_sliding_counts(
     spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
+    step = _step(spark, folder, files_per_trigger)
+
     def build(session: SparkSession) -> DataFrame:
-        events = follow_table(session, folder, "events", files_per_trigger)
+        events = follow_table(session, folder, "events", step)
         return flat_window(
             sliding_stream(events, DELAY, SLIDE_WIDTH, SLIDE, ["event_type"], event_sums())
         )
@@ -83,8 +128,10 @@ def stream_sliding_counts(
 def stream_user_sessions(
     spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
+    step = _step(spark, folder, files_per_trigger)
+
     def build(session: SparkSession) -> DataFrame:
-        events = follow_table(session, folder, "events", files_per_trigger)
+        events = follow_table(session, folder, "events", step)
         found = session_stream(events, DELAY, SESSION_GAP, "user_id", event_sums())
         return found.withColumn("total_value", as_amount("total_value", 2))
 
@@ -96,9 +143,11 @@ def stream_deduplicated_events(
 ) -> DataFrame:
     """The event table delivered twice, as by a source that repeats itself, kept once."""
 
+    step = _step(spark, folder, files_per_trigger)
+
     def build(session: SparkSession) -> DataFrame:
-        first = follow_table(session, folder, "events", files_per_trigger)
-        again = follow_table(session, folder, "events", files_per_trigger)
+        first = follow_table(session, folder, "events", step)
+        again = follow_table(session, folder, "events", step)
         return deduplicated_stream(first.unionByName(again), DELAY, "event_id")
 
     return _to_end(spark, "stream_deduplicated_events", build)

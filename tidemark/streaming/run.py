@@ -54,8 +54,10 @@ def start_available(stream: DataFrame, location: str) -> StreamingQuery:
     )
 
 
-def run_available(stream: DataFrame, location: str) -> None:
-    start_available(stream, location).awaitTermination()
+def run_available(stream: DataFrame, location: str) -> StreamingQuery:
+    query = start_available(stream, location)
+    query.awaitTermination()
+    return query
 
 
 def output_folder(location: str) -> str:
