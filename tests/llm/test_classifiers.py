@@ -284,6 +284,23 @@ def test_standard_notices_are_found_in_lines_and_over_lines(spark, licence_model
     assert 0 <= at["number"] <= 4 and "Public" in at["paragraph"]
 
 
+def test_sample_of_other_paragraphs_has_no_copies(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    seen = []
+
+    def look(frame, purpose):
+        seen.extend(r["paragraph"] for r in frame.collect())
+        raise Enough
+
+    monkeypatch.setattr(licence_scan, "saved", look)
+    rows = [(k, "the same line" if k % 3 else f"line {k}", "aa") for k in range(300)]
+    with pytest.raises(Enough):
+        licence_scan.fit(documents(spark, rows))
+    assert sorted(seen) == sorted(set(t for _, t, _ in rows))
+
+
 def test_licence_query_runs_no_python(spark, data):
     found = __spark_entry__.queries()["op5_license_scan"](spark, data)
     plan = found._jdf.queryExecution().executedPlan().toString()
