@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import byte_tokens, language_filters, licence_scan, toxic_segments
+from tidemark.llm.benchmark_index import contamination
 from tidemark.llm.common import held_out, saved
-
 from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.filter_audit import audit, document_filters, with_labels
 from tidemark.llm.lattice_dedup import near_vectors
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import pack, pieces_of
+from tidemark.llm.periodic_runs import collapse_runs
 from tidemark.llm.simple8b import read_token_files, write_token_files
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.word_lexicon import encode_and_decode
@@ -179,6 +181,113 @@ def op10_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    flags = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    rows = with_labels(document_filters(docs, part=docs["lang"]), read_table(spark, sf_dir, "labels"), flags)
+    return audit(rows, "ABCDE", {"good_lost": "good", "toxic_lost": "toxic"})
+
+
+# Documents are counted by part and the letters they fail, then put through all steps of all orders.
+FILTER_AUDIT_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+failed AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d
+),
+label AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+),
+n AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed LEFT JOIN label USING (doc_id)
+  GROUP BY part, fails
+),
+orders AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(f)
+  WHERE NOT contains(filter_order, f)
+),
+steps AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS f,
+         filter_order[:step - 1] AS earlier, filter_order[:step] AS until
+  FROM orders, unnest(range(1, 6)) AS t(step)
+  WHERE length(filter_order) = 5
+),
+tested AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails = f AS only_this,
+         contains(fails, f) AS this, translate(fails, earlier, '') <> fails AS gone,
+         translate(fails, until, '') = fails AS stays
+  FROM n, steps
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (stays), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (this AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (this AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (only_this), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (this AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (this AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM tested
+  GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of all documents; one in ten has its last words replaced by a repeated stretch."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, words).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, g % n, null)"))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("array_join(transform(words, (w, i) -> if(i >= a, words[cast(a + (i - a) % p as int)], w)), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(repeated_tails(read_table(spark, sf_dir, "documents")))
+    greater = "x.length * best.period > best.length * x.period"
+    best = F.expr(f"aggregate(runs, get(runs, 0), (best, x) -> if({greater}, x, best))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *(F.col("best").getField(c).alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, read_table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_toxicity": op2_toxicity,
@@ -190,10 +299,14 @@ QUERIES = {
     "op8_lattice_dedup": op8_lattice_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_word_lexicon": op10_word_lexicon,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_benchmark_index": op13_benchmark_index,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": MINHASH_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
     "op8_lattice_dedup": LATTICE_SQL,
+    "op11_filter_audit": FILTER_AUDIT_SQL,
 }
