@@ -5,13 +5,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.llm.data import awkward, documents, empty
 from tidemark.llm import language_filters, licence_scan, toxic_segments
-from tidemark.llm.language_filters import build, languages_of, trigrams
+from tidemark.llm.language_filters import languages_of, trigrams
 from tidemark.llm.toxic_segments import DRIFT, maximal_segments
 
 FOLDER = "/root/testdata/sf0.01"
@@ -82,12 +83,109 @@ def test_trigrams_are_those_of_plain_python():
         assert [as_text(int(c)) for c in codes[begin[i] : begin[i + 1]]] == plain_trigrams(text)
 
 
+def build(lang: list[str], gram: np.ndarray, bits: int = 16) -> language_filters.Filters:
+    languages = sorted(set(lang))
+    rows = pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram.view(np.int64))], ["lang", "gram"])
+    slots = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64)
+    for out in language_filters._taken(languages, bits)(iter([rows])):
+        slot, word, mask = (c.to_numpy(zero_copy_only=False) for c in out.columns)
+        np.bitwise_or.at(slots, (slot, word), mask.view(np.uint64))
+    return language_filters._filters(languages, slots, [lang.count(x) for x in languages])
+
+
+def contained(filters: language_filters.Filters, gram: int) -> set[str]:
+    bits = len(filters.slots).bit_length() - 1
+    first, second = (int(x[0]) for x in language_filters._slots(np.array([gram], np.uint64), bits))
+    mask = [int(a & b) for a, b in zip(filters.slots[first], filters.slots[second])]
+    return {x for k, x in enumerate(filters.languages) if mask[k // 64] >> k % 64 & 1}
+
+
+def test_language_fit_against_plain_python(spark):
+    rows = awkward(n=200)
+    counts: dict[str, dict[str, int]] = {"aa": {}, "bb": {}}
+    for i, t, lang in rows:
+        if t is not None and lang and (i is None or not is_held_out(i)):
+            for gram in plain_trigrams(t):
+                counts[lang][gram] = counts[lang].get(gram, 0) + 1
+    totals = {x: sum(n.values()) for x, n in counts.items()}
+    share = {x: {g: n / totals[x] for g, n in c.items()} for x, c in counts.items()}
+    least, part = language_filters.LEAST, language_filters.SHARE
+    expected = {
+        g: {x for x in share if share[x].get(g, 0) >= max(least, part * max(s.get(g, 0) for s in share.values()))}
+        for g in {*share["aa"], *share["bb"]}
+    }
+    filters = language_filters.fit(documents(spark, rows))
+    assert filters.languages == ["aa", "bb"]
+    surplus = 0
+    for gram, languages in expected.items():
+        code = ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+        found = contained(filters, code)
+        assert languages <= found
+        surplus += found != languages
+    assert surplus < 0.02 * len(expected)
+    sizes = {x: sum(x in languages for languages in expected.values()) for x in share}
+    assert filters.most_grams == (0 if sizes["aa"] >= sizes["bb"] else 1)
+
+
+def test_a_language_may_have_very_many_ngrams(spark):
+    """Sixty thousand different ones, each once: none is left out, however rare."""
+    r = random.Random(8)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 15_000)]
+    texts = ["".join(r.choice(signs) for _ in range(2000)) for _ in range(60)]
+    rows = [(i, texts[i], "zh") for i in range(60)] + [(100 + i, "one two three four", "en") for i in range(30)]
+    filters = language_filters.fit(documents(spark, rows))
+    taught = [t for i, t in enumerate(texts) if not is_held_out(i)]
+    assert len(filters.slots) >= 8 * len({g for t in taught for g in plain_trigrams(t)})
+    pieces = [(i, t[k : k + 5], None) for i, t in enumerate(taught) for k in (1, 700, 1990)]
+    found = language_filters.predict(documents(spark, pieces), filters).collect()
+    assert all(x["lang_pred"] == "zh" and x["share"] > 0.55 and x["n_grams"] == 5 for x in found)
+
+
+def test_levels_of_lengths(spark, monkeypatch):
+    """Against plain Python, with a predictor that only counts words of the language."""
+    def predict(rows, filters):
+        words = F.split("text", " ")
+        n = F.size(words).cast("bigint")
+        return rows.select(
+            "lang", F.lit("aa").alias("lang_pred"), n.alias("n_grams"), (F.size(F.filter(words, lambda w: w == "a")) / n).alias("share")
+        )
+
+    monkeypatch.setattr(language_filters, "predict", predict)
+    monkeypatch.setattr(language_filters, "LEVEL_ROWS", 50)
+    monkeypatch.setattr(language_filters, "KEPT_SHARE", 0.9)
+    r = random.Random(5)
+    rows = []
+    for i in range(1500):
+        n = r.choice([1, 2, 3, 3, 3, 9, 9, 9, 9, 12, 40, 70])
+        rows.append((i, " ".join(r.choice("aaaaab") for _ in range(n)), r.choice(["aa", "aa", "bb"])))
+    found = language_filters.levels(language_filters.labelled(documents(spark, rows)))
+    taught = [(len(t.split()), t.split().count("a") / len(t.split())) for i, t, x in rows if x == "aa" and zlib.crc32(str(i).encode()) % 3 == 0]
+    lengths = sorted({n.bit_length() for n, _ in taught})
+    groups: list[list[int]] = [[]]
+    held = 0
+    for length in lengths:
+        if held >= 50:
+            groups.append([])
+            held = 0
+        groups[-1].append(length)
+        held += sum(n.bit_length() == length for n, _ in taught)
+    if held < 50 and len(groups) > 1:
+        last = groups.pop()
+        groups[-1] += last
+    assert len(groups) > 1 and len(found) == 64
+    for group in groups:
+        bins = sorted(int(s * 10_000) for n, s in taught if n.bit_length() in group)
+        level = bins[int(len(bins) * (1 - 0.9) + 1e-9)] / 10_000
+        assert all(found[x] == level for x in group)
+    assert language_filters.levels(language_filters.labelled(documents(spark, rows[:20]))) == [0.0]
+
+
 def test_filters_hold_more_than_64_languages():
     languages = [f"l{k:03d}" for k in range(100)]
     grams = [np.arange(5) + 1000 * k + 7 for k in range(100)]
     filters = build([x for x in languages for _ in range(5)], np.concatenate(grams).astype(np.uint64))
     assert filters.languages == languages and filters.slots.shape[1] == 2
-    first, second = language_filters._slots(grams[77].astype(np.uint64))
+    first, second = language_filters._slots(grams[77].astype(np.uint64), 16)
     mask = filters.slots[first] & filters.slots[second]
     assert ((mask[:, 1] >> np.uint64(77 - 64)) & np.uint64(1)).all()
 
@@ -108,10 +206,11 @@ def test_language_popcounts_against_sets():
         raw = text.encode()
         codes, _ = trigrams(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))
         hits = {n: sum(c in s for c in codes.tolist()) for n, s in sets.items()}
-        got, score = languages_of(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), filters)
+        got, score, share, n = languages_of(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8), filters)
         if hits["aa"] != hits["bb"]:
             assert got[0] == max(hits, key=hits.get)
             assert abs(score[0] - max(hits.values()) / sum(hits.values())) < 1e-3
+            assert abs(share[0] - max(hits.values()) / len(codes)) < 1e-3 and n[0] == len(codes)
 
 
 def test_toxicity_query_on_held_out_documents(spark, tables):
