@@ -43,11 +43,16 @@ def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language: those without letters, or of whose n-grams no language has any, go."""
+    """Documents in a learned language.
+
+    Those go that have no letter, or of whose n-grams the best language contains a smaller share than
+    practically all labelled documents of their length reach.
+    """
     rows = wrapped(docs)
-    judged = language_filters.predict(rows, language_filters.fit(rows))
-    known = (F.col("lang_pred") != language_filters.UNDETERMINED) & (F.col("score") > 0)
-    return unwrapped(judged.filter(known), docs)
+    labelled = language_filters.labelled(rows)
+    judged = language_filters.predict(rows, language_filters.fit_labelled(labelled))
+    known = (F.col("lang_pred") != language_filters.UNDETERMINED) & (F.col("share") > 0)
+    return unwrapped(judged.filter(known & language_filters.reaches(language_filters.levels(labelled))), docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
