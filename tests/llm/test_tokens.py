@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 from functools import partial
@@ -13,6 +14,7 @@ import pytest
 import __spark_entry__
 from tests.llm.data import awkward, documents, empty
 from tidemark.llm import byte_tokens, packing, simple8b, word_lexicon
+from tidemark.llm.common import saved
 from tidemark.llm.packing import cutting_stock, pack, pieces_of
 from tidemark.llm.pretokens import SeenWords
 from tidemark.llm.queries import vocabulary
@@ -60,6 +62,37 @@ def test_word_level_ids_and_texts_are_the_librarys(monkeypatch):
         assert decoded.decode() == library.decode(expected, skip_special_tokens=False), text
 
 
+def test_merges_are_the_librarys_on_words_of_few_letters():
+    """Repeats and ties: the leftmost of equal pairs goes first."""
+    library, merger = word_lexicon.tokenizer(WORD), Merger(WORD)
+    r = random.Random(12)
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 60))) for letters in ("a", "ab", "the", "nation", "éß") for _ in range(150)]
+    for word in words:
+        assert merger.ids(word.encode()) == library.encode(word, add_special_tokens=False).ids, word
+
+
+def test_a_megabyte_without_a_blank(spark):
+    r = random.Random(13)
+    long = "".join(r.choice(["an", "er", "the", "tion", "x", "qu", "é"]) for _ in range(450_000))
+    assert len(long.encode()) > 1_000_000
+    merger = Merger(WORD)
+    start = time.perf_counter()
+    ids = merger.ids(long.encode())
+    assert time.perf_counter() - start < 20  # two seconds or so on an idle machine
+    library = word_lexicon.tokenizer(WORD)
+    assert ids == library.encode(long, add_special_tokens=False).ids
+    rows = [(1, long, "aa"), (2, "short", "aa"), (3, "a" * 1_000_000, "aa")]
+    docs = documents(spark, rows)
+    coded = {x["doc_id"]: bytes(x["ids"]) for x in encode_and_decode(docs, WORD).collect()}
+    for i, text, _ in rows:
+        assert np.frombuffer(coded[i], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    by_bytes = byte_tokens.tokenizer(BYTE)
+    flat, counts = byte_tokens.encode(pa.array([t for _, t, _ in rows]), BYTE)
+    assert flat.tolist() == [x for _, t, _ in rows for x in by_bytes.encode(t, add_special_tokens=False).ids]
+    packed = pack(saved(pieces_of(docs, encoder(), 2048, end_id=1), "long-pieces"), 2048)
+    assert packed.agg({"length": "sum"}).first()[0] == int(counts.sum()) + len(rows)
+
+
 @pytest.mark.parametrize("most", [3, 50])
 def test_seen_words_may_start_anew(monkeypatch, most):
     monkeypatch.setitem(byte_tokens._seen, BYTE, SeenWords(most))
@@ -136,7 +169,7 @@ def test_blocks_can_be_decoded_alone():
 
 def brute_ids(rows, end: int) -> list[tuple[int, list[int]]]:
     library = byte_tokens.tokenizer(BYTE)
-    named = sorted((i, t or "") for i, t, _ in rows if i is not None)
+    named = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     return [(i, [*library.encode(t, add_special_tokens=False).ids, end]) for i, t in named]
 
 
@@ -175,12 +208,18 @@ def check_packed(rows, found, capacity: int) -> int:
     library = byte_tokens.tokenizer(BYTE)
     expected, pieces, sequences = defaultdict(list), defaultdict(list), defaultdict(list)
     for i, t, _ in rows:
-        if i is not None:
-            expected[i].append([*library.encode(t or "", add_special_tokens=False).ids, 1])
+        expected[i].append([*library.encode(t or "", add_special_tokens=False).ids, 1])
+    cut = defaultdict(list)
     for r in found:
+        assert (r["row"] is None) == (r["doc_id"] is not None)
+        if r["row"] is not None:
+            cut[r["row"]].append((r["start"], r["length"], r["doc_tokens"]))
         pieces[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]))
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
     assert set(pieces) == set(expected)
+    for parts in cut.values():  # of one row without an id
+        assert sum(length for _, length, _ in parts) == parts[0][2]
+    assert len(cut) == len(expected[None] if None in expected else [])
     for i, texts in expected.items():
         want = [
             (k, len(ids[k : k + capacity]), len(ids), zlib.crc32(np.array(ids[k : k + capacity], "<u4").tobytes()))
@@ -244,6 +283,25 @@ def test_cutting_stock_covers_the_demand():
         assert n <= 1.25 * bound + len(patterns) + (half > 0)
 
 
+def test_column_generation_that_ends_early_says_so(monkeypatch, caplog):
+    demand = np.zeros(257, np.int64)
+    demand[[256, 140, 100, 70, 33, 20, 7]] = [5, 40, 60, 80, 300, 90, 1000]
+    whole = cutting_stock(demand)
+    assert not caplog.records
+    monkeypatch.setattr(packing, "ROUNDS", 0)
+    early = cutting_stock(demand)
+    assert "column generation ended" in caplog.text
+    for patterns in (whole, early):
+        held = np.zeros(257, np.int64)
+        for pattern in patterns:
+            assert sum(size * n for size, n in pattern.pieces) <= 256
+            for size, n in pattern.pieces:
+                held[size] += n * pattern.sequences
+        assert (held >= demand).all()
+    least = -(-int((demand * np.arange(257)).sum()) // 256)
+    assert sum(p.sequences for p in whole) <= least + 2
+
+
 def test_knapsack_finds_the_best_pattern():
     r = np.random.default_rng(1)
     for _ in range(20):

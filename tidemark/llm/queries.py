@@ -118,7 +118,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = partial(byte_tokens.encode, path=vocabulary("byte_bpe_50k.json"))
     pieces = pieces_of(read_table(spark, sf_dir, "documents"), encoder, SEQUENCE, end_id=1)
     pieces = saved(
-        pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"),
+        pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "row"),
         "pieces",
     )
     return pack(pieces, SEQUENCE)

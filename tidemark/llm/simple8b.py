@@ -15,6 +15,7 @@ A token file is a Parquet part file with one row per chunk of documents:
     shard       place of the file in the order of documents
     before      ids in this shard before the chunk
     doc_ids     the documents of the chunk in order, 64-bit little-endian
+    unnamed     how many of them, the last ones, have no id
     counts      ids of each, 64-bit little-endian
     n_ids       their sum
     offsets     first word of each block, 32-bit little-endian
@@ -45,6 +46,7 @@ CHUNK = pa.schema(
         ("shard", pa.int32()),
         ("before", pa.int64()),
         ("doc_ids", pa.binary()),
+        ("unnamed", pa.int64()),
         ("counts", pa.binary()),
         ("n_ids", pa.int64()),
         ("offsets", pa.binary()),
@@ -53,7 +55,7 @@ CHUNK = pa.schema(
     ]
 )
 CHUNK_DDL = (
-    "shard int, before bigint, doc_ids binary, counts binary, n_ids bigint, "
+    "shard int, before bigint, doc_ids binary, unnamed bigint, counts binary, n_ids bigint, "
     "offsets binary, words binary, escaped binary"
 )
 
@@ -192,13 +194,14 @@ def write_token_files(
     """Write the ids of all texts to ``folder``, documents in ascending order of their id.
 
     ``encoder`` turns a column of texts into all ids and their number per text; ``end_id`` is
-    added to each document. Null text counts as empty; rows without an id are left out, and rows
-    that repeat an id follow each other in the order of their texts.
+    added to each document. Null text counts as empty. Rows that repeat an id follow each other in
+    the order of their texts; so do those without an id, at the end.
     """
-    docs = documents_of(docs, id_col, text_col).filter(F.col("doc_id").isNotNull())
+    docs = documents_of(docs, id_col, text_col)
+    by_id = [F.col("doc_id").isNull(), F.col("doc_id")]
     in_order = docs.repartitionByRange(
-        shuffle_partitions(docs.sparkSession), "doc_id"
-    ).sortWithinPartitions("doc_id", "text")
+        shuffle_partitions(docs.sparkSession), *by_id
+    ).sortWithinPartitions(*by_id, "text")
     in_order.mapInArrow(_chunks(encoder, end_id), CHUNK_DDL).write.parquet(folder)
 
 
@@ -206,25 +209,27 @@ def _chunks(encoder: Encoder, end_id: int | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n = 0
+        n = unnamed = 0
         for whole in batches:
             for batch in text_pieces(whole):
                 ids, counts = encoder(batch.column("text"))
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
-                held.append((numbers(batch.column("doc_id")), counts, ids))
+                names = batch.column("doc_id")
+                unnamed += names.null_count
+                held.append((numbers(names.fill_null(0)), counts, ids))
                 n += len(ids)
                 if n >= CHUNK_IDS:
-                    yield _chunk(shard, before, held)
-                    before, held, n = before + n, [], 0
+                    yield _chunk(shard, before, unnamed, held)
+                    before, held, n, unnamed = before + n, [], 0, 0
         if held:
-            yield _chunk(shard, before, held)
+            yield _chunk(shard, before, unnamed, held)
 
     return task
 
 
-def _chunk(shard: int, before: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+def _chunk(shard: int, before: int, unnamed: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     docs, counts, ids = (np.concatenate(x) for x in zip(*held))
     words, firsts, escaped = encode(ids)
     return pa.RecordBatch.from_arrays(
@@ -232,6 +237,7 @@ def _chunk(shard: int, before: int, held: list[tuple[np.ndarray, ...]]) -> pa.Re
             pa.array([shard], pa.int32()),
             pa.array([before], pa.int64()),
             binary_rows([docs.astype("<i8")]),
+            pa.array([unnamed], pa.int64()),
             binary_rows([counts.astype("<i8")]),
             pa.array([len(ids)], pa.int64()),
             binary_rows([firsts.astype("<u4")]),
@@ -273,6 +279,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             firsts = np.frombuffer(one["offsets"], "<u4").astype(np.int64)
             ids = decode(words, firsts, int(counts.sum()), escaped).astype("<u4")
             ends = np.cumsum(counts)
+            named = np.arange(len(docs)) < len(docs) - one["unnamed"]
             offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
             column = pa.Array.from_buffers(
                 pa.large_binary(), len(docs), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]
@@ -280,7 +287,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(docs), one["shard"], np.int32)),
-                    pa.array(docs),
+                    pa.array(docs, mask=~named),
                     pa.array(one["before"] + ends - counts),
                     pa.array(counts),
                     column.cast(pa.binary()) if offsets[-1] < 2**31 else column,

@@ -6,8 +6,8 @@ also their endings. Its arcs carry how many words lie before them; their sum alo
 word's number, and the number points to its ids. The compiled arrays are one file in the shared
 folder, which Spark hands to every executor and the workers map into memory.
 
-Words that are not in the lexicon are merged exactly: the adjacent pair of lowest rank first,
-the leftmost of equals. Both results, per distinct word, are remembered by the worker. Texts with
+Words that are not in the lexicon, long ones among them, are merged exactly: the adjacent pair of
+lowest rank first, the leftmost of equals. Both results, per distinct word, are remembered by the worker. Texts with
 characters that may need normalising, or that may hold special tokens, go through the library.
 """
 
@@ -17,6 +17,7 @@ import functools
 import json
 import uuid
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from tidemark.llm.pretokens import SeenWords, Text, gather, small_letters, word_
 from tidemark.session import working_folder
 
 LEXICON_WORDS = 100_000
+WORD_BYTES = 64
 HELD_WORDS = 200_000
 END = "</w>"
 
@@ -45,31 +47,40 @@ class Merger:
         letter = byte_letters()
         self.inner = [vocabulary[letter[b]] for b in range(256)]
         self.final = [vocabulary[letter[b] + END] for b in range(256)]
-        self.rank, self.merged = {}, {}
+        self.rank, self.merged = {}, []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            key = vocabulary[a] << 32 | vocabulary[b]
-            self.rank[key] = rank
-            self.merged[key] = vocabulary[a + b]
+            self.rank[vocabulary[a] << 32 | vocabulary[b]] = rank
+            self.merged.append(vocabulary[a + b])
         self.names = {i: t.encode() for t, i in vocabulary.items()}
 
     def ids(self, word: bytes) -> list[int]:
+        """The ids of a word: always the adjacent pair of lowest rank, the leftmost of equals, becomes one.
+
+        Pairs wait in a heap by rank and place; the ids are linked to their neighbours. A pair that is gone
+        when its turn comes is passed over, so the time grows with n log n in the length of the word.
+        """
         ids = [self.inner[b] for b in word[:-1]]
         ids.append(self.final[word[-1]])
-        rank, none = self.rank, len(self.rank)
-        ranks = [rank.get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [self.merged[ids[i] << 32 | ids[i + 1]]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank.get(ids[i - 1] << 32 | ids[i], none)
-            if i < len(ranks):
-                ranks[i] = rank.get(ids[i] << 32 | ids[i + 1], none)
-        return ids
+        n, rank, merged = len(ids), self.rank.get, self.merged
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [r * n + i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a << 32 | b)) is not None]
+        heapify(waiting)
+        while waiting:
+            r, i = divmod(heappop(waiting), n)
+            j = after[i]
+            if ids[i] < 0 or j == n or rank(ids[i] << 32 | ids[j]) != r:
+                continue
+            ids[i], ids[j] = merged[r], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(ids[i] << 32 | ids[k])) is not None:
+                    heappush(waiting, r * n + i)
+            h = before[i]
+            if h >= 0 and (r := rank(ids[h] << 32 | ids[i])) is not None:
+                heappush(waiting, r * n + h)
+        return [x for x in ids if x >= 0]
 
 
 @functools.cache
@@ -216,12 +227,14 @@ def _spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byte
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent words of all texts, ``most`` of them or a few less.
 
+    Words of more than ``WORD_BYTES`` are not among them: every letter of a word is a step of the lexicon.
     How many words there are of each frequency says from which on they are ``most`` at most; only
     those come to the driver. Frequencies are told apart to within five per cent for that.
     """
     texts = docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     counts = saved(
         texts.mapInArrow(_counted, "word binary, n bigint")
+        .filter(F.octet_length("word") <= WORD_BYTES)
         .groupBy("word")
         .agg(F.floor(16 * F.log2(F.sum("n"))).alias("level")),
         "word-counts",
