@@ -85,10 +85,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of 2,048."""
+    """Pieces of the documents' ids in sequences of 2,048; ``row`` tells documents without an id apart."""
     encoder = partial(byte_tokens.encode, path=vocabulary("byte_bpe_50k.json"))
     pieces = pieces_of(docs, encoder, SEQUENCE, end_id=END_OF_DOCUMENT)
-    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    pieces = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "row")
     return pack(saved(pieces, "pieces"), SEQUENCE)
 
 
