@@ -14,6 +14,7 @@ import __spark_entry__
 from tests.compare import assert_same
 from tests.llm.data import awkward, documents, empty, shingles, smallest_reachable
 from tidemark.llm import clusters, minhash_dedup, queries, suffix_dedup
+from tidemark.llm.common import saved
 from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.suffix_dedup import deep_shallow, remove_repeats
@@ -102,6 +103,64 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, blocks):
     assert found == brute_components(rows, 4)
 
 
+def test_a_large_family_is_compared_in_few_rows(spark, monkeypatch):
+    """Twenty thousand different near copies; half of them are similar enough to the original alone."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(0, " ".join(base), "aa")]
+    for i in range(1, 20_000):
+        copy = list(base)
+        for place in r.sample(range(4, 76), 1 + i % 2):
+            copy[place] = f"x{i}"
+        rows.append((i, " ".join(copy), "aa"))
+    tables, counted = [], spark.sparkContext.accumulator(0)
+
+    def counting(real):
+        def group(table):
+            counted.add(table.num_rows)
+            return real(table)
+
+        return group
+
+    across = minhash_dedup._linked_across
+    monkeypatch.setattr(minhash_dedup, "_linked_across", lambda percent: counting(across(percent)))
+    real = clusters.edges_in_large_groups
+
+    def look(large, *rest):
+        tables.append(large.count())
+        return real(large, *rest)
+
+    monkeypatch.setattr(minhash_dedup, "edges_in_large_groups", look)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(16)
+    found = near_duplicates(docs, width=4).collect()
+    assert len(found) == 20_000 and {x["component_id"] for x in found} == {0}
+    assert tables == [20_000]
+    assert 20_000 < counted.value < 20 * 20_000
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_edges_in_large_groups(spark, rounds):
+    """Ids on a line, close if at most 3 apart, in groups that overlap; against all pairs."""
+    r = random.Random(rounds)
+    members = {(g, i) for g in range(4) for i in r.sample(range(400), 100 if g else 300)}
+    rows = [(g, i, 1 + (300 if g == 0 else 100) // 20, str(i).encode()) for g, i in members]
+    large = saved(spark.createDataFrame(rows, "group bigint, id bigint, blocks int, payload binary"), "groups")
+
+    def across(table):
+        ids = clusters.numbers(table.column("id"))
+        found = []
+        for asking, others in clusters.by_group(table):
+            close = np.abs(ids[asking][:, None] - ids[others][None, :]) <= 3
+            a, b = np.nonzero(close)
+            found.append(clusters.stars(ids, asking[a], others[b]))
+        return clusters.edge_table(found)
+
+    edges = clusters.edges_in_large_groups(large, across, 20, rounds=rounds).collect()
+    links = [(a, b) for g in range(4) for (h, a) in members if h == g for (k, b) in members if k == g and 0 < b - a <= 3]
+    ids = sorted({i for _, i in members})
+    assert smallest_reachable(ids, [(e["a"], e["b"]) for e in edges]) == smallest_reachable(ids, links)
+
+
 def test_signature_threshold_keeps_similar_pairs():
     """Pairs at a similarity of exactly 0.8 stay within the distance."""
     r = np.random.default_rng(1)

@@ -10,12 +10,16 @@ has each vector's number of links and its connected component.
    pair together about every other time, so about one pair in a hundred is missed by all, and
    far fewer above.
 2. Vectors that share a key are compared by eight-bit copies of their components, with a margin
-   for their error. Those that pass are joined into families; a key with very many vectors is
-   cut into pairs of blocks.
-3. Within a family all pairs are compared exactly, in pairs of blocks. These comparisons
+   for their error. Those that pass are joined into families. A key of more than ``KEY_BLOCK`` vectors
+   is not compared pair by pair (``clusters.edges_in_large_groups``).
+3. Within a family all pairs are compared exactly, in pairs of blocks of ``FAMILY_BYTES``. These comparisons
    count the links, so a pair that no table brought together still counts if others connect it.
+   Every link counts, so a family of m vectors costs m * m / 2 products, and each vector is sent once per
+   block of its family: with 64 components a block holds 65,536.
 
-Equal unit vectors are one class from the start; a link to a class counts once per member.
+Equal unit vectors are one class from the start, whatever their ids; a link to a class counts once
+per member. Rows that repeat an id are vectors of their own: each has its links and its component, which is the
+smallest id among the rows it is connected with.
 Only vectors of the same length are compared. Vectors that are null, empty, zero, or hold a null or
 a component that is not finite are linked with nothing and stay. Rows without an id are left out.
 Extra columns are not read.
@@ -33,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.clusters import block_pairs, bucket_pairs, edge_table, forest, runs, with_blocks
+from tidemark.llm.clusters import block_pairs, by_group, edge_table, forest, in_shared_keys, runs, stars, with_blocks
 from tidemark.llm.common import (
     components,
     join_uneven,
@@ -50,7 +54,9 @@ PROBES = 4
 SCALE = 3.5
 MARGIN = 0.02
 KEY_BLOCK = 4096
-FAMILY_BLOCK = 2048
+FAMILY_BLOCK = 1 << 16
+FAMILY_BYTES = 32 << 20
+AT_ONCE = 2048
 TASK_ROWS = 500_000
 
 
@@ -104,49 +110,43 @@ def near_vectors(
         "vectors",
     )
     total = table.count()
+    # A class of equal vectors is a node, numbered when it is written. All of its rows have the same vector.
     classes = saved(
         table.filter(F.col("digest").isNotNull())
         .groupBy("digest")
-        .agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")),
+        .agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "classes",
     )
-    several = saved(
-        table.join(classes, ["vec_id", "digest"]).select("vec_id", "copies", "unit").dropDuplicates(["vec_id"]),
-        "representatives",
-    )
-    keys = several.select("vec_id", "unit").mapInArrow(_cells, "key bigint, vec_id bigint")
+    units = classes.select("id", "unit")
     per_vector = TABLES * (1 + BLOCKS * PROBES)
     tasks = max(partitions, -(-total * per_vector // (4 * TASK_ROWS)))
-    small = several.select("vec_id", "unit").mapInArrow(_small, "vec_id bigint, small binary")
-    near = (
-        bucket_pairs(keys, small, "vec_id", KEY_BLOCK, tasks)
-        .select("task", "key", "i", "j", "vec_id", "small")
-        .groupBy("task")
-        .applyInArrow(_near(threshold - MARGIN), "a bigint, b bigint")
+    near = in_shared_keys(
+        units.mapInArrow(_cells, "key bigint, id bigint"), units.mapInArrow(_small, "id bigint, payload binary"),
+        total * per_vector, KEY_BLOCK, tasks, _near(threshold - MARGIN), _near_across(threshold - MARGIN),
     )
-    families = saved(components(near).select(F.col("id").alias("vec_id"), F.col("root").alias("family")), "families")
+    families = saved(components(near).select("id", F.col("root").alias("family")), "families")
     n_members = families.count()
-    members = with_blocks(families, "family", "vec_id", FAMILY_BLOCK, n_members).join(several, "vec_id")
+    members = families.join(classes.select("id", "copies", "unit"), "id").withColumn("size", F.octet_length("unit"))
+    members = with_blocks(members, "family", "id", FAMILY_BLOCK, n_members, "size", FAMILY_BYTES)
     found = saved(
         block_pairs(members, F.col("family"), max(partitions, n_members // 20_000))
-        .select("task", "family", "i", "j", "block", "vec_id", "copies", "unit")
+        .select("task", "family", "i", "j", "block", "id", "copies", "unit")
         .groupBy("task")
-        .applyInArrow(_links(threshold), "vec_id bigint, root bigint, links bigint"),
+        .applyInArrow(_links(threshold), "id bigint, root bigint, links bigint"),
         "links",
     )
-    roots = components(
-        found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
-    ).withColumnRenamed("id", "vec_id")
-    counted = found.groupBy("vec_id").agg(F.sum("links").alias("others"))
-    groups = (
-        classes.join(counted, "vec_id", "left")
-        .join(roots, "vec_id", "left")
-        .select(
-            "digest",
-            "copies",
-            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "vec_id").alias("component"),
-        )
+    roots = saved(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
+    counted = found.groupBy("id").agg(F.sum("links").alias("others"))
+    named = classes.select("digest", "copies", "vec_id", "id").join(counted, "id", "left").join(roots, "id", "left")
+    least = named.filter(F.col("root").isNotNull()).groupBy("root").agg(
+        F.min("vec_id").alias("component"), F.count(F.lit(1)).alias("size")
+    )
+    groups = join_uneven(named, "root", least, "size", n_members).select(
+        "digest",
+        "copies",
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component"),
     )
     result = join_uneven(table.select("vec_id", "digest"), "digest", saved(groups, "groups"), "copies", total)
     component = F.coalesce("component", "vec_id")
@@ -190,14 +190,14 @@ def _by_length(values: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of a vector's own cell and of the probed ones, in all tables."""
     for batch in batches:
-        ids = numbers(batch.column("vec_id"))
+        ids = numbers(batch.column("id"))
         for rows, x in _by_length(batch.column("unit").to_pylist(), "<f8"):
             random = np.random.Generator(np.random.PCG64(x.shape[1]))
             for table in range(TABLES):
                 keys = cell_keys(x, random.normal(size=(x.shape[1], 8 * BLOCKS)) / 8, table)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.T.ravel().view(np.int64)), pa.array(np.tile(ids[rows], keys.shape[1]))],
-                    ["key", "vec_id"],
+                    ["key", "id"],
                 )
 
 
@@ -240,19 +240,22 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             factor = (1 / np.sqrt((whole * whole).sum(axis=1))).astype("<f4")
             for row, f, v in zip(rows.tolist(), factor, whole.astype(np.int8)):
                 out[row] = f.tobytes() + v.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "small"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "payload"])
+
+
+def _widened(raw: np.ndarray) -> np.ndarray:
+    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
 def _near(threshold: float):
     def group(table: pa.Table) -> pa.Table:
-        ids = numbers(table.column("vec_id"))
-        key, i, j = (numbers(table.column(c)) for c in ("key", "i", "j"))
+        ids, key = numbers(table.column("id")), numbers(table.column("key"))
         found = []
-        for rows, raw in _by_length(table.column("small").to_pylist(), np.uint8):
-            x = raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+        for rows, raw in _by_length(table.column("payload").to_pylist(), np.uint8):
+            x = _widened(raw)
             # A vector that is in many runs of the task is compared through one copy of it.
-            nodes, first, node = np.unique(ids[rows], return_index=True, return_inverse=True)
-            order, starts = runs(key[rows], i[rows], j[rows])
+            nodes, node = np.unique(ids[rows], return_inverse=True)
+            order, starts = runs(key[rows])
             left, right = [], []
             for a, b in zip(starts[:-1], starts[1:]):
                 at = order[a:b]
@@ -268,32 +271,47 @@ def _near(threshold: float):
     return group
 
 
+def _near_across(threshold: float):
+    def group(table: pa.Table) -> pa.Table:
+        ids, found = numbers(table.column("id")), []
+        for rows, raw in _by_length(table.column("payload").to_pylist(), np.uint8):
+            x = _widened(raw)
+            for asking, others in by_group(table.take(pa.array(rows))):
+                for part in np.array_split(asking, -(-len(asking) // AT_ONCE)):
+                    p, q = np.nonzero(x[part] @ x[others].T >= threshold)
+                    found.append(stars(ids[rows], part[p], others[q]))
+        return edge_table(found)
+
+    return group
+
+
 def _links(threshold: float):
     def group(table: pa.Table) -> pa.Table:
-        ids, copies, block = (numbers(table.column(c)) for c in ("vec_id", "copies", "block"))
+        ids, copies, block = (numbers(table.column(c)) for c in ("id", "copies", "block"))
         out: list[tuple[np.ndarray, ...]] = []
         for rows, x in _by_length(table.column("unit").to_pylist(), "<f8"):
             order, starts = runs(*(numbers(table.column(c))[rows] for c in ("family", "i", "j")))
             for a, b in zip(starts[:-1], starts[1:]):
                 at = order[a:b]
                 of = block[rows[at]]
-                one = np.flatnonzero(of == of.min())
-                other = np.flatnonzero(of == of.max())
-                linked = x[at[one]] @ x[at[other]].T >= threshold
+                same = of.min() == of.max()
+                one, other = np.flatnonzero(of == of.min()), np.flatnonzero(of == of.max())
                 size = copies[rows[at]]
-                links = np.zeros(len(at), np.int64)
-                if of.min() == of.max():
-                    np.fill_diagonal(linked, False)
-                    links[one] = linked @ size[other]
-                else:
-                    links[one] = linked @ size[other]
-                    links[other] = linked.T @ size[one]
-                p, q = np.nonzero(linked)
-                root = local_roots(len(at), one[p], other[q])
+                links, root = np.zeros(len(at), np.int64), np.arange(len(at))
+                for p in np.array_split(one, -(-len(one) // AT_ONCE)):
+                    for q in np.array_split(other, -(-len(other) // AT_ONCE)):
+                        linked = x[at[p]] @ x[at[q]].T >= threshold
+                        if same:
+                            linked &= p[:, None] != q[None, :]
+                        else:
+                            links[q] += linked.T @ size[p]
+                        links[p] += linked @ size[q]
+                        left, right = np.nonzero(linked)
+                        root = root[local_roots(len(at), root[p[left]], root[q[right]])[root]] if len(left) else root
                 some = links > 0
                 name = ids[rows[at]]
                 out.append((name[some], name[root][some], links[some]))
         parts = [np.concatenate([np.zeros(0, np.int64), *(o[k] for o in out)]) for k in range(3)]
-        return pa.table([pa.array(p) for p in parts], names=["vec_id", "root", "links"])
+        return pa.table([pa.array(p) for p in parts], names=["id", "root", "links"])
 
     return group

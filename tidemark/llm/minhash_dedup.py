@@ -11,10 +11,13 @@ threshold; the result is the connected component of each document.
    chunk is indexed once for every symbol that may be wrong, by its other symbols: 64 keys per
    document, and every pair within the distance shares one.
 3. Among the documents that share a key, those within the distance are joined into families
-   (a spanning forest per task, then connected components). A key with very many documents is
-   cut into pairs of blocks.
-4. Within a family all pairs are compared on their full sets of shingle hashes (64 bits), again
-   in pairs of blocks. The links found there are the exact ones; their components are the result.
+   (a spanning forest per task, then connected components).
+4. Within a family documents are compared on their full sets of shingle hashes (64 bits). The links
+   found there are the exact ones; their components are the result.
+
+Only components are wanted, so a key of more than ``KEY_BLOCK`` documents, and a family of more than
+``FAMILY_BLOCK`` or ``FAMILY_BYTES``, is not compared pair by pair: all are compared with a few first, then
+what stays apart with all (``clusters.edges_in_large_groups``).
 
 Documents with equal sets are one class from the start and enter steps 2 to 4 once.
 
@@ -35,12 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.clusters import (
-    block_pairs,
-    bucket_pairs,
+    EDGES_DDL,
+    by_group,
     edge_table,
+    edges_in_large_groups,
     fixed_width,
     forest,
+    in_shared_keys,
     runs,
+    stars,
     with_blocks,
 )
 from tidemark.llm.common import (
@@ -62,7 +68,8 @@ CHUNKS = 15
 MAX_ERRORS = 29
 SMALL_RUN = 32
 KEY_BLOCK = 4096
-FAMILY_BLOCK = 512
+FAMILY_BLOCK = 2048
+FAMILY_BYTES = 32 << 20
 TASK_ROWS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -108,32 +115,44 @@ def near_duplicates(
         ),
         "classes",
     )
-    several = signed.join(
-        classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi"
-    ).select("doc_id", "signature")
-    several = saved(several, "representatives")
+    several = saved(
+        signed.join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select(
+            "doc_id", "n", "signature"
+        ),
+        "representatives",
+    )
 
-    keys = several.mapInArrow(_keyed, "key bigint, doc_id bigint")
+    keys = several.select("doc_id", "signature").mapInArrow(_keyed, "key bigint, id bigint")
     tasks = max(partitions, -(-total * len(KEYS) // (4 * TASK_ROWS)))
-    near = (
-        bucket_pairs(keys, several, "doc_id", KEY_BLOCK, tasks)
-        .select("task", "key", "i", "j", "doc_id", "signature")
-        .groupBy("task")
-        .applyInArrow(_near, "a bigint, b bigint")
+    near = in_shared_keys(
+        keys, several.select(F.col("doc_id").alias("id"), F.col("signature").alias("payload")),
+        total * len(KEYS), KEY_BLOCK, tasks, _near, _near_across,
     )
     families = saved(components(near).select(F.col("id").alias("doc_id"), F.col("root").alias("family")), "families")
 
     n_members = families.count()
-    members = with_blocks(families, "family", "doc_id", FAMILY_BLOCK, n_members)
-    sets = docs.join(members.hint("shuffle_hash"), "doc_id").mapInArrow(
-        _sets(width), "doc_id bigint, family bigint, block int, blocks int, shingles binary"
+    sizes = several.groupBy("doc_id").agg(F.sum(F.lit(8) * F.col("n")).alias("bytes"))
+    members = saved(
+        with_blocks(families.join(sizes, "doc_id"), "family", "doc_id", FAMILY_BLOCK, n_members, "bytes", FAMILY_BYTES),
+        "members",
     )
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        rows = docs.join(some.select("doc_id", "family", "blocks").hint("shuffle_hash"), "doc_id")
+        return rows.mapInArrow(_sets(width), "id bigint, group bigint, blocks int, payload binary")
+
+    task = F.pmod(F.xxhash64("group"), F.lit(max(partitions, n_members // 4000)))
     links = (
-        block_pairs(sets, F.col("family"), max(partitions, n_members // 4000))
-        .select("task", "family", "i", "j", "block", "doc_id", "shingles")
+        sets_of(members.filter("blocks = 1"))
+        .select(task.alias("task"), "group", "id", "payload")
         .groupBy("task")
-        .applyInArrow(_linked(percent), "a bigint, b bigint")
+        .applyInArrow(_linked(percent), EDGES_DDL)
     )
+    cut = members.filter("blocks > 1")
+    if not cut.isEmpty():
+        # Rows that repeat an id, or that equal another, are compared through one of each text.
+        large = saved(sets_of(cut).dropDuplicates(["group", "id", "payload"]), "large-families")
+        links = links.union(edges_in_large_groups(large, _linked_across(percent), FAMILY_BLOCK))
     roots = saved(components(links), "components")
 
     groups = classes.join(roots, classes["doc_id"] == roots["id"], "left").select(
@@ -206,16 +225,15 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys[k] = key
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64).ravel()), pa.array(np.tile(ids, len(KEYS)))],
-                ["key", "doc_id"],
+                ["key", "id"],
             )
 
 
 def _near(table: pa.Table) -> pa.Table:
     """A spanning forest, per task, of the pairs that share a key and are within the distance."""
-    ids = numbers(table.column("doc_id"))
-    # One byte per symbol: more pairs may pass than with two, none fewer.
-    symbols = fixed_width(table.column("signature"), SYMBOLS, np.uint16).astype(np.uint8)
-    order, starts = runs(*(numbers(table.column(c)) for c in ("key", "i", "j")))
+    ids = numbers(table.column("id"))
+    symbols = _bytes_of(table)
+    order, starts = runs(numbers(table.column("key")))
     sizes = np.diff(starts)
     run = np.repeat(np.arange(len(sizes)), sizes)
     # Copies of a document in many runs are one node of the forest.
@@ -247,6 +265,24 @@ def _near(table: pa.Table) -> pa.Table:
     return edge_table([forest(nodes, root)])
 
 
+def _bytes_of(table: pa.Table) -> np.ndarray:
+    """One byte per symbol: more pairs may pass than with two, none fewer."""
+    return fixed_width(table.column("payload"), SYMBOLS, np.uint16).astype(np.uint8)
+
+
+def _near_across(table: pa.Table) -> pa.Table:
+    ids, symbols = numbers(table.column("id")), _bytes_of(table)
+    found = []
+    for asking, others in by_group(table):
+        left, right = [], []
+        for a in asking.tolist():
+            close = others[(symbols[others] != symbols[a]).sum(axis=1) <= MAX_ERRORS]
+            left.append(np.full(len(close), a))
+            right.append(close)
+        found.append(stars(ids, np.concatenate(left), np.concatenate(right)))
+    return edge_table(found)
+
+
 def _search(symbols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Breadth-first search: each reached row, with the rows that it is the first to reach."""
     waiting = np.arange(len(symbols))
@@ -269,10 +305,10 @@ def _sets(width: int):
                 flat, begin = distinct_per_text(*shingle_hashes(data, offsets, width))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c) for c in ("doc_id", "family", "block", "blocks")),
+                        *(batch.column(c) for c in ("doc_id", "family", "blocks")),
                         binary_rows(flat[a:b] for a, b in zip(begin[:-1], begin[1:])),
                     ],
-                    ["doc_id", "family", "block", "blocks", "shingles"],
+                    ["id", "group", "blocks", "payload"],
                 )
 
     return task
@@ -280,20 +316,36 @@ def _sets(width: int):
 
 def _linked(percent: int):
     def group(table: pa.Table) -> pa.Table:
-        ids, block = numbers(table.column("doc_id")), numbers(table.column("block"))
-        order, starts = runs(*(numbers(table.column(c)) for c in ("family", "i", "j")))
-        shingles = table.column("shingles")
+        ids, shingles = numbers(table.column("id")), table.column("payload")
+        order, starts = runs(numbers(table.column("group")))
         found = []
         for a, b in zip(starts[:-1], starts[1:]):
             rows = order[a:b]
-            sets = [np.frombuffer(shingles[int(r)].as_buffer(), np.uint64) for r in rows]
-            left, right = linked_pairs(sets, block[rows], percent)
+            left, right = linked_pairs(_sets_in(shingles, rows), np.zeros(len(rows), np.int8), percent)
             found.append(forest(ids[rows], local_roots(len(rows), left, right)))
         return edge_table(found)
 
     return group
 
 
+def _linked_across(percent: int):
+    def group(table: pa.Table) -> pa.Table:
+        ids, shingles = numbers(table.column("id")), table.column("payload")
+        found = []
+        for asking, others in by_group(table):
+            rows = np.concatenate([asking, others])
+            side = np.repeat(np.array([0, 1], np.int8), [len(asking), len(others)])
+            left, right = linked_pairs(_sets_in(shingles, rows), side, percent)
+            found.append(stars(ids, rows[left], rows[right]))
+        return edge_table(found)
+
+    return group
+
+
+def _sets_in(shingles: pa.ChunkedArray, rows: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(shingles[int(r)].as_buffer(), np.uint64) for r in rows]
+
+
 def linked_pairs(
     sets: list[np.ndarray], block: np.ndarray, percent: int, columns: int = 4096
 ) -> tuple[np.ndarray, np.ndarray]:
