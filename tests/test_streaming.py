@@ -17,6 +17,7 @@ from tidemark.sources.tables import follow_table
 from tidemark.streaming.events import (
     _latest_copies,
     deduplicated_stream,
+    matched_stream,
     session_stream,
     sliding_stream,
     tumbling_stream,
@@ -339,3 +340,40 @@ def test_copies_in_many_batches_leave_a_task_few_times():
     hot = [t for i, t in rows if i == 7]
     assert len(hot) <= 4 and max(hot) == 299 + 98
     assert sorted(i for i, _ in rows if i != 7) == list(range(100, 400))
+
+
+def test_matches_of_two_streams_and_their_state(spark, streams, feed, tmp_path):
+    """Files in order of time: all pairs come out, and the state holds no more than the open hours."""
+    for day in range(1, 31, 3):
+        feed.send(f"SELECT * FROM given WHERE dayofmonth(ts) BETWEEN {day} AND {day + 2} ORDER BY ts")
+    within = 4 * HOUR
+    events = follow_table(streams, feed.folder, "events", files_per_trigger=1)
+    clicks, purchases = (events.filter(events.event_type == kind) for kind in ("click", "purchase"))
+    stream = matched_stream(clicks, purchases, HOUR, "user_id", within)
+    location = str(tmp_path / "run")
+    query = run_available(stream, location)
+    found = read_output(spark, stream, location).select("first.event_id", "then.event_id").collect()
+    sql = f"""
+    SELECT c.event_id, p.event_id FROM sent c JOIN sent p ON c.user_id = p.user_id
+     AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL {within} SECOND
+    WHERE c.event_type = 'click' AND p.event_type = 'purchase'
+    """
+    assert Counter(tuple(r) for r in found) == Counter(feed.con.sql(sql).fetchall()) and found
+    last = query.recentProgress[-1].stateOperators[0].numRowsTotal
+    assert last < 0.2 * feed.con.sql("SELECT count(*) FROM sent WHERE event_type IN ('click', 'purchase')").fetchall()[0][0]
+
+
+def test_matches_leave_out_rows_without_key_or_time(spark, streams, feed, tmp_path):
+    feed.send(
+        "SELECT * REPLACE (CASE WHEN event_id % 5 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 7 > 0 THEN ts END AS ts) FROM given"
+    )
+    events = follow_table(streams, feed.folder, "events")
+    stream = matched_stream(events, events, HOUR, "user_id", 60)
+    location = str(tmp_path / "run")
+    run_available(stream, location)
+    found = Counter(tuple(r) for r in read_output(spark, stream, location).select("first.event_id", "then.event_id").collect())
+    sql = """
+    SELECT a.event_id, b.event_id FROM sent a JOIN sent b ON a.user_id = b.user_id
+     AND a.ts <= b.ts AND a.ts >= b.ts - INTERVAL 60 SECOND
+    """
+    assert found == Counter(feed.con.sql(sql).fetchall())

@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from tests.compare import assert_same
 from tests.variants import VARIANTS, make_variant
 from tidemark.operators.slices import slice_hot_groups
-from tidemark.plans import all_queries, event_time
+from tidemark.plans import all_queries, event_time, matches
 from tidemark.sources.tables import read_table
 
 CUT = {
     "running_value_per_user": event_time.running_value_per_user,
     "last_click_before_purchase": event_time.last_click_before_purchase,
 }
+CUT_MORE = {
+    "errors_around_purchases": matches.errors_around_purchases,
+    "overlapping_sessions": matches.overlapping_sessions,
+    "orders_in_price_band": matches.orders_in_price_band,
+    "customers_by_balance": matches.customers_by_balance,
+}
 QUERIES = {query.name: query for query in all_queries()}
 EVENT_QUERIES = [
     name
     for name in QUERIES
-    if any(word in name for word in ("event", "user", "click", "props", "stream"))
+    if any(word in name for word in ("event", "user", "click", "props", "stream", "purchase", "sessions"))
 ]
 CASES = [
     (variant, name)
@@ -63,6 +69,13 @@ def test_cut_keys_match_sql(spark, folders, variant, rows_per_task, name):
     assert assert_same(result, QUERIES[name].sql, folder) > 0
 
 
+@pytest.mark.parametrize("name", CUT_MORE)
+@pytest.mark.parametrize("variant", ["hot", "burst"])
+def test_cut_bins_match_sql(spark, folders, variant, name):
+    folder = folders[variant]
+    assert_same(CUT_MORE[name](spark, folder, rows_per_task=10), QUERIES[name].sql, folder)
+
+
 def sliced_events(spark, folder, rows_per_task):
     events = read_table(spark, folder, "events").select("user_id", "ts", "event_id")
     sliced = slice_hot_groups(events, "user_id", ["ts", "event_id"], rows_per_task)

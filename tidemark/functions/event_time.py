@@ -22,8 +22,15 @@ def micros_between(earlier: str, later: str) -> Column:
     Taken from their interval: the functions that return a number go through the session's
     time zone and are an hour off when the clocks change.
     """
-    pause = F.col(later) - F.col(earlier)
+    return _micros(F.col(later) - F.col(earlier))
 
+
+def micros_since_epoch(ts: str) -> Column:
+    """A timestamp without a time zone as microseconds since 1970, taken in the same way."""
+    return _micros(F.col(ts) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _micros(pause: Column) -> Column:
     def part(unit: str) -> Column:
         return F.extract(F.lit(unit), pause)
 

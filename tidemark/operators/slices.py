@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.numbers import as_number
+
 ROWS_PER_TASK = 500_000
 
 #: Slices per ``rows_per_task`` rows: values are not spread evenly, so more are cut than needed.
@@ -51,7 +53,7 @@ def slice_hot_groups(
 
     What is broadcast is one row per group that is cut; fewer than one in ``rows_per_task`` rows.
     """
-    numbers = [f"{_number(rows, column)} AS _o{i}" for i, column in enumerate(order)]
+    numbers = [f"{as_number(rows, column)} AS _o{i}" for i, column in enumerate(order)]
     rows = rows.selectExpr("*", *numbers)
     hot, by, how = rows, [key], "inner"
     for name in SLICES:
@@ -106,19 +108,6 @@ def _numbered(
     )
 
 
-def _number(rows: DataFrame, column: str) -> str:
-    """SQL for an order column as a number that rises with it."""
-    kind = rows.schema[column].dataType.typeName()
-    if kind == "timestamp_ntz":
-        # Through an interval: the functions that return a number go through the session's zone.
-        since = f"(`{column}` - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
-        day, hour, minute, second = (f"extract({u} FROM {since})" for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
-        return f"double((({day} * 24L + {hour}) * 60 + {minute}) * 60) + double({second})"
-    if kind == "boolean":
-        return f"double(int(`{column}`))"
-    return f"double(`{column}`)"
-
-
 def add_carry(local: DataFrame, by: list[str], carry: DataFrame) -> DataFrame:
     """Join to each row what ``carry`` holds for its slice; null where it holds nothing.
 

@@ -37,6 +37,7 @@ from tidemark.session import working_folder
 from tidemark.sources.tables import follow_table, read_table
 from tidemark.streaming.events import (
     deduplicated_stream,
+    matched_stream,
     session_stream,
     sliding_stream,
     tumbling_stream,
@@ -153,6 +154,40 @@ def stream_deduplicated_events(
     return _to_end(spark, "stream_deduplicated_events", build)
 
 
+MATCH_WITHIN = HOUR
+
+
+def stream_clicks_before_purchases(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
+    """Each purchase with every click of the same user in the hour before it."""
+    step = _step(spark, folder, files_per_trigger)
+
+    def build(session: SparkSession) -> DataFrame:
+        def of_type(name: str) -> DataFrame:
+            events = follow_table(session, folder, "events", step)
+            return events.filter(F.col("event_type") == name).select("event_id", "user_id", "ts")
+
+        found = matched_stream(of_type("click"), of_type("purchase"), DELAY, "user_id", MATCH_WITHIN)
+        return found.select(
+            F.col("then.event_id").alias("purchase_id"),
+            F.col("then.user_id").alias("user_id"),
+            F.col("then.ts").alias("purchase_ts"),
+            F.col("first.event_id").alias("click_id"),
+            F.col("first.ts").alias("click_ts"),
+        )
+
+    return _to_end(spark, "stream_clicks_before_purchases", build)
+
+
+STREAM_CLICKS_BEFORE_PURCHASES_SQL = f"""
+SELECT p.event_id AS purchase_id, p.user_id, p.ts AS purchase_ts, c.event_id AS click_id, c.ts AS click_ts
+FROM events p JOIN events c ON p.user_id = c.user_id
+ AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL {MATCH_WITHIN} SECOND
+WHERE p.event_type = 'purchase' AND c.event_type = 'click'
+"""
+
+
 def _final_sql(sql: str, final_at: str) -> str:
     return f"""
 SELECT * FROM ({sql}) found
@@ -178,4 +213,7 @@ QUERIES = [
         _final_sql(USER_SESSIONS_SQL, f"session_end + INTERVAL {SESSION_GAP} SECOND"),
     ),
     Query("stream_deduplicated_events", stream_deduplicated_events, "SELECT * FROM events WHERE ts IS NOT NULL"),
+    Query(
+        "stream_clicks_before_purchases", stream_clicks_before_purchases, STREAM_CLICKS_BEFORE_PURCHASES_SQL
+    ),
 ]

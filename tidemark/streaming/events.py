@@ -62,6 +62,36 @@ def session_stream(
     )
 
 
+def matched_stream(first: DataFrame, then: DataFrame, delay: int, key: str, within: int) -> DataFrame:
+    """``first`` and ``then`` (whole rows) of every pair of one key with ``then`` at most ``within`` seconds later.
+
+    Both have ``ts`` and the key. The two watermarks and the condition on the times bound both states: a
+    row is forgotten when the other side's watermark is past all that could match it. Rows meet by key and by
+    slot of ``within`` seconds, the first ones in their own slot and the next, so that a key with very
+    many rows is spread over its slots. Rows without a key or a time meet nothing.
+    """
+
+    def timed(events: DataFrame, name: str, slots: list[int]) -> DataFrame:
+        rows = events.filter(F.col(key).isNotNull())
+        rows = with_event_time(rows.withColumn(name, F.struct(*events.columns)), delay)
+        slot = F.floor(F.unix_micros("ts") / (within * 1_000_000))
+        return rows.select(
+            name,
+            F.col(key).alias(f"{name}_key"),
+            F.col("ts").alias(f"{name}_ts"),
+            F.explode(F.array(*(slot + s for s in slots))).alias(f"{name}_slot"),
+        )
+
+    a, b = timed(first, "first", [0, 1]), timed(then, "then", [0])
+    met = (
+        (F.col("first_key") == F.col("then_key"))
+        & (F.col("first_slot") == F.col("then_slot"))
+        & (F.col("first_ts") <= F.col("then_ts"))
+        & (F.col("first_ts") >= F.col("then_ts") - F.expr(f"INTERVAL {within} SECONDS"))
+    )
+    return a.join(b, met).select("first", "then")
+
+
 def deduplicated_stream(events: DataFrame, delay: int, key: str) -> DataFrame:
     """Each event once, if its copies arrive within ``delay`` seconds of event time.
 
