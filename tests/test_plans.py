@@ -137,26 +137,25 @@ def test_ordered_queries_have_one_path(spark, data, query, rows_per_task):
 
 
 @pytest.mark.parametrize("query", ORDERED)
-def test_ordered_queries_do_nothing_while_built(spark, data, query):
+@pytest.mark.parametrize(("rows_per_task", "most"), [(20, 2), (500_000, 1)])
+def test_ordered_queries_scan_little(spark, data, query, rows_per_task, most):
+    """In the first plan, before Spark reuses what is equal: all rows, and those of keys that were cut."""
+    plan = plan_of(query(spark, data, rows_per_task=rows_per_task))
+    assert 1 <= len(scans(plan)) <= most
+
+
+@pytest.mark.parametrize("query", ORDERED)
+@pytest.mark.parametrize(("rows_per_task", "most"), [(20, 20), (500_000, 4)])
+def test_ordered_queries_only_count_while_built(spark, data, query, rows_per_task, most):
+    """The schema, and a count per level at which something may be cut."""
     tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup(query.__name__, "")
-    query(spark, data, rows_per_task=20)
+    group = f"{query.__name__}-{rows_per_task}"
+    spark.sparkContext.setJobGroup(group, "")
+    query(spark, data, rows_per_task=rows_per_task)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    # Only the schema of the table is read, in a job of its own.
-    assert len(tracker.getJobIdsForGroup(query.__name__)) <= 1
+    assert len(tracker.getJobIdsForGroup(group)) <= most
 
 
 def test_as_of_filter_reaches_all_scans(spark, data):
     plan = plan_of(event_time.last_click_before_purchase(spark, data))
     assert plan.count("In(event_type, [click,purchase])") == len(scans(plan))
-    assert len(scans(plan)) <= 20  # before Spark reuses what is equal
-
-
-@pytest.mark.parametrize("query", ORDERED)
-def test_nothing_to_cut_reads_the_events_twice(spark, data, query):
-    """Once to count the keys and once for the rows, when no key is large."""
-    result = query(spark, data)
-    result.collect()
-    plan = result._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert len(scans(final)) <= 3, final

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import assert_same
 from tests.variants import VARIANTS, make_variant
+from tidemark.operators import slices
 from tidemark.operators.slices import slice_hot_groups
 from tidemark.plans import all_queries, event_time, matches
 from tidemark.sources.tables import read_table
@@ -95,12 +96,29 @@ def test_slices_are_small_and_in_order(spark, folders, variant):
     sliced, found = sliced_events(spark, folders[variant], 40)
     assert max(g.n for g in found) <= 80
     cut = [g for g in found if g.user_id == 7]
+    assert set(sliced.by) <= {"user_id", "_slice", "_part", "_tie"}
     assert len(cut) >= (5 if variant != "ties" else 1)
     for a, b in zip(cut, cut[1:]):
         assert a["last"] < b["first"] or (a["last"] == b["first"] and a["last_id"] < b["first_id"])
     assert sliced.hot.filter("user_id = 7").count() in (0, sum(g.n for g in cut))
 
 
+def test_no_more_groups_are_cut_than_the_bound(spark, folders, monkeypatch):
+    """Of the many keys with more than five rows only a few are cut, and the result is the same."""
+    monkeypatch.setattr(slices, "MOST_CUT", 3)
+    folder = folders["hot"]
+    sliced, found = sliced_events(spark, folder, 5)
+    assert 1 <= len({g.user_id for g in found if g["_slice"]}) <= 3
+    result = event_time.running_value_per_user(spark, folder, rows_per_task=5)
+    assert_same(result, QUERIES["running_value_per_user"].sql, folder)
+
+
+def test_nothing_to_cut(spark, folders):
+    events = read_table(spark, folders["hot"], "events").select("user_id", "ts", "event_id")
+    sliced = slice_hot_groups(events, "user_id", ["ts", "event_id"])
+    assert sliced.by == ["user_id"] and sliced.hot is None
+
+
 def test_small_keys_are_not_cut(spark, folders):
     sliced, found = sliced_events(spark, folders["hot"], 200)
     assert {g.user_id for g in found if g["_slice"]} == {7}

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slices import (
-    ROWS_PER_TASK,
-    SLICES,
-    add_carry,
-    in_order,
-    slice_hot_groups,
-)
+from tidemark.operators.slices import ROWS_PER_TASK, add_carry, in_order, slice_hot_groups
 
 
 def last_seen(
@@ -46,6 +40,10 @@ def last_seen(
         .withColumn("seen", F.last("_offer", ignorenulls=True).over(so_far))
     )
 
+    asks = F.col(key).isNotNull() & F.col(order[0]).isNotNull()
+    if sliced.hot is None:  # no key was cut: there is nothing before a slice
+        return local.select(*timeline.columns, F.when(asks, F.col("seen")).alias("seen"))
+
     # The last offer of each slice, one order column after the other: an aggregate of plain
     # numbers is hashed, where one of whole rows would sort them. A slice without an offer
     # keeps a row without values, for what is carried over it.
@@ -56,10 +54,9 @@ def last_seen(
     offer = F.when(F.col(order[0]).isNotNull(), F.struct(*fields)).alias("_last")
     last = last.select(*sliced.by, offer)
     earlier = (
-        Window.partitionBy(key).orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(*sliced.slices).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = last.select(*sliced.by, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    asks = F.col(key).isNotNull() & F.col(order[0]).isNotNull()
     return add_carry(local, sliced.by, carry).select(
         *timeline.columns, F.when(asks, F.coalesce("seen", "_carried")).alias("seen")
     )

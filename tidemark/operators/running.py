@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.slices import (
-    ROWS_PER_TASK,
-    SLICES,
-    add_carry,
-    in_order,
-    slice_hot_groups,
-)
+from tidemark.operators.slices import ROWS_PER_TASK, add_carry, in_order, slice_hot_groups
 
 
 def running_totals(
@@ -40,8 +34,11 @@ def running_totals(
             "running_max": F.max(value).over(so_far),
         }
     )
+    names = ("running_n", "running_sum", "running_max")
+    if sliced.hot is None:  # no key was cut: there is nothing before a slice
+        return local.select(*rows.columns, *names)
     earlier = (
-        Window.partitionBy(key).orderBy(*SLICES).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy(*sliced.slices).rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = (
         sliced.hot.groupBy(*sliced.by)
