@@ -113,7 +113,7 @@ def test_no_bins_beyond_the_bound_are_broadcast(spark, monkeypatch):
 
     def look(*rest):
         out = large(*rest)
-        sizes.append(out.count())
+        sizes.append(out.count() if out is not None else 0)
         return out
 
     monkeypatch.setattr(overlaps, "_large_bins", look)
@@ -121,7 +121,7 @@ def test_no_bins_beyond_the_bound_are_broadcast(spark, monkeypatch):
     _, points = points_of(spark, spots)
     _, intervals = intervals_of(spark, [(k, 0, 9) for k in range(20)])
     assert points_in_intervals(points, intervals, rows_per_task=2).count() == len(spots)
-    assert sizes[0] <= 3
+    assert 1 <= sizes[0] <= 3
 
 
 def test_joins_of_nothing(spark):

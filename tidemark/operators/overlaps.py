@@ -9,10 +9,10 @@ Two intervals overlap when the one that starts later starts within the other, so
 two joins of starts with intervals, and each pair comes out once.
 
 A bin may hold very many rows of one key: it is cut into parts of its points and parts of its
-intervals, and each part of the one side meets each part of the other. Which bins are cut comes
-from one count per bin, partly made before the shuffle. A bin is cut if it has more than
-``rows_per_task`` rows of a side, and more than one in ``MOST_CUT`` of the rows of all such bins; so at
-most ``MOST_CUT`` bins are broadcast, at every size.
+intervals, and each part of the one side meets each part of the other. Which bins are cut is
+counted when the join is built, partly before the shuffle, and becomes a table of constants in the plan, of
+at most ``MOST_CUT`` rows. The widths that occur are looked up before that. So each side is read
+three times at most; if it is the result of more work, it should be a written table.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def points_in_intervals(
     """``point`` and ``interval`` (whole rows) of every pair of one key with the point in the interval.
 
     ``after_start`` leaves out points at the very start. Places and bounds have the same type: numbers or
-    timestamps without a zone. The widths that occur are looked up first, a few rows.
+    timestamps without a zone.
     """
     spots = points.rows.select(
         F.struct(*points.rows.columns).alias("point"),
@@ -93,12 +93,15 @@ def points_in_intervals(
 
     where = ["_key", "_level", "_bin"]
     hot = _large_bins(spots, spans, where, rows_per_task)
-    spots = _dealt(spots, hot, where, "_points", "_spans", "_part", "_other")
-    spans = _dealt(spans, hot, where, "_spans", "_points", "_other", "_part")
+    parts = []
+    if hot is not None:
+        spots = _dealt(spots, hot, where, "_points", "_spans", "_part", "_other")
+        spans = _dealt(spans, hot, where, "_spans", "_points", "_other", "_part")
+        parts = ["_part", "_other"]
     inside = (F.col("_at") > F.col("_start") if after_start else F.col("_at") >= F.col("_start")) & (
         F.col("_at") <= F.col("_end")
     )
-    met = spots.join(spans, [*where, "_part", "_other"])
+    met = spots.join(spans, [*where, *parts])
     return met.filter(inside).select("point", "interval")
 
 
@@ -108,21 +111,28 @@ def _level(length: Column) -> Column:
     return F.when(length > 0, power).otherwise(F.lit(0))
 
 
-def _large_bins(spots: DataFrame, spans: DataFrame, where: list[str], rows_per_task: int) -> DataFrame:
-    """Bins with very many points or intervals, and into how many parts each side is cut."""
+def _large_bins(spots: DataFrame, spans: DataFrame, where: list[str], rows_per_task: int) -> DataFrame | None:
+    """Bins with very many points or intervals, and into how many parts each side is cut; none if there are none.
+
+    A table of constants, ``MOST_CUT`` rows at most: where more bins are large, a part gets more rows instead,
+    the average of so many bins.
+    """
     sides = spots.select(*where, F.lit(1).alias("_p"), F.lit(0).alias("_s")).unionByName(
         spans.select(*where, F.lit(0).alias("_p"), F.lit(1).alias("_s"))
     )
     counts = sides.groupBy(*where).agg(F.sum("_p").alias("_p"), F.sum("_s").alias("_s"))
     rows = F.greatest("_p", "_s")
-    large = counts.filter(rows > rows_per_task)
-    total = large.groupBy(F.lit(0).alias("_all")).agg(F.sum(F.col("_p") + F.col("_s")).alias("n")).select("n").scalar()
-    part = F.greatest(F.lit(rows_per_task), F.ceil(total / MOST_CUT))
-    return large.withColumn("_most", part).filter(rows > F.col("_most")).select(
-        *where,
-        F.ceil(F.col("_p") / F.col("_most")).cast("int").alias("_points"),
-        F.ceil(F.col("_s") / F.col("_most")).cast("int").alias("_spans"),
-    )
+
+    def larger_than(most: int) -> DataFrame:
+        return counts.filter(rows > most).select(
+            *where, F.ceil(F.col("_p") / most).cast("int").alias("_points"), F.ceil(F.col("_s") / most).cast("int").alias("_spans")
+        )
+
+    found = larger_than(rows_per_task).limit(MOST_CUT + 1).toArrow()
+    if found.num_rows > MOST_CUT:
+        total = counts.filter(rows > rows_per_task).agg(F.sum(rows)).first()[0]
+        found = larger_than(-(-total // MOST_CUT)).toArrow()
+    return spots.sparkSession.createDataFrame(found) if found.num_rows else None
 
 
 def _dealt(rows: DataFrame, hot: DataFrame, where: list[str], own: str, other: str, part: str, copy: str) -> DataFrame:
