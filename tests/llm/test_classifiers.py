@@ -318,29 +318,80 @@ def test_licence_notices_are_those_in_the_texts(spark, tables, licence_model):
     assert found == expected
 
 
-def test_licence_pattern_leaves_no_notice_out(spark, licence_model):
-    """The classifier finds the same without the pattern that picks its paragraphs."""
-    rows = awkward() + [
-        (500 + k, text, "aa") for k, text in enumerate(t for texts in licence_scan.TEMPLATES.values() for t in texts)
-    ] + [(700, "Licensed under\nthe MIT License of\r\nAll Rights RESERVED", "aa"), (701, "use of this and all of the work by", "bb")]
+def test_templates_are_found_and_only_by_their_words(spark, licence_model):
+    """Every template is a notice of its family; without the search for telling words nothing more is found."""
+    rows = awkward() + [(500 + k, t.text, "aa") for k, t in enumerate(licence_scan.NOTICES)]
+    rows += [(700, "Licensed under\nthe MIT License of\r\nAll Rights RESERVED", "aa"), (701, "use of this and all of the work by", "bb")]
     docs = documents(spark, rows).drop("block")
     found = licence_scan.notices(docs, licence_model)
-    every = licence_scan._scored(
-        licence_scan._with_grams(licence_scan.paragraphs(docs), "paragraph"), licence_model
-    ).filter(F.col("probability") >= licence_model.accepted)
-    every = every.withColumn("similarity", licence_scan._best_template(F.col("grams"), F.col("family"))).filter(
-        F.col("similarity") >= licence_scan.SIMILAR
+    every = licence_scan._confirmed(
+        licence_scan.paragraphs(docs).withColumn("_part", F.col("paragraph")), licence_model, 0
     )
     key = lambda r: (r["doc_id"], r["number"], r["paragraph"], r["family"])
     a, b = ({key(r) for r in frame.collect()} for frame in (found, every))
     assert a == b
     by_id = {i: f for i, _, _, f in a}
-    wanted = [f for f, texts in licence_scan.TEMPLATES.items() for _ in texts]
-    right = sum(by_id.get(500 + k) == f for k, f in enumerate(wanted))
-    assert right >= 0.9 * len(wanted)
+    wrong = {t.text: by_id.get(500 + k) for k, t in enumerate(licence_scan.NOTICES) if by_id.get(500 + k) != t.family}
+    assert not wrong
     assert 701 not in by_id and by_id[700] == "reserved"
 
 
+def test_stems_are_in_all_telling_words():
+    for t in licence_scan.NOTICES:
+        hit = re.search("(?i)" + t.telling, t.text).group().lower()
+        assert any(stem in hit for stem in licence_scan.STEMS) or re.search(licence_scan.STEM_PATTERN, hit), t
+
+
+AGPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+    "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+)
+OF_ITS_OWN_FAMILY = [
+    (AGPL, "AGPL"),
+    (AGPL.replace("Affero", "Lesser"), "LGPL"),
+    (AGPL.replace("Affero ", ""), "GPL"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC"),
+    ("SPDX-License-Identifier: ISC", "ISC"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "BSD"),
+    ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("Licensed under the Artistic License, version 2.0.", "Artistic-2.0"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Licensed under the Eclipse Public License, version 2.0.", "EPL"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+]
+OF_NONE = [
+    "This project is not licensed under the MIT license.",
+    "The tool was never released under the BSD License, whatever others say.",
+    "All rights are reserved for guests of the hotel.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: MIT-0",
+    "Licensed under the Open Software License, version 3.0.",
+    "The general public has no license to fish here, and permission is rarely granted.",
+    "Creative people commons in the attribution of their work, version 4.0 of it.",
+]
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_notices_are_of_their_own_family_or_none(spark, licence_model, wrapped):
+    lines = [(text, family) for text, family in OF_ITS_OWN_FAMILY if not wrapped or len(text.split()) > licence_scan.SENTENCE + 6]
+    lines += [(text, None) for text in OF_NONE]
+
+    def shaped(text: str) -> str:
+        if not wrapped:
+            return text
+        words = text.split(" ")
+        return "\n".join("# " + " ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+
+    rows = [(k, shaped(text), "aa") for k, (text, _) in enumerate(lines)]
+    found = {r["doc_id"]: r["families"] for r in licence_scan.licences(documents(spark, rows), licence_model).collect()}
+    assert {lines[k][0]: f for k, f in found.items() if f != (lines[k][1] or "")} == {}
+
+
 def test_standard_notices_are_found_in_lines_and_over_lines(spark, licence_model):
     """None of these texts is a template; each has one among other words or wrapped."""
     mit = (
