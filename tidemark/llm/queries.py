@@ -14,6 +14,7 @@ from tidemark.llm.exact_dedup import exact_groups
 from tidemark.llm.filter_audit import audit, document_filters, with_labels
 from tidemark.llm.lattice_dedup import near_vectors
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.oracle_sql import BENCHMARK_INDEX_SQL, PERIODIC_RUNS_SQL, SUFFIX_DEDUP_SQL
 from tidemark.llm.packing import pack, pieces_of
 from tidemark.llm.periodic_runs import collapse_runs
 from tidemark.llm.simple8b import read_token_files, write_token_files
@@ -308,5 +309,8 @@ ORACLE_SQL = {
     "op1_minhash_dedup": MINHASH_SQL,
     "op6_exact_dedup": EXACT_DEDUP_SQL,
     "op8_lattice_dedup": LATTICE_SQL,
+    "op9_suffix_dedup": SUFFIX_DEDUP_SQL,
     "op11_filter_audit": FILTER_AUDIT_SQL,
+    "op12_periodic_runs": PERIODIC_RUNS_SQL,
+    "op13_benchmark_index": BENCHMARK_INDEX_SQL,
 }
