@@ -1,0 +1,54 @@
+"""Sketches that are stored and merged, against exact figures."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from tests.test_plans import plan_of
+from tidemark.operators.sketches import RANK_ERROR, USERS_ERROR, merged, n_different, quantile, sketched
+from tidemark.plans.sketched import daily_sketches
+
+
+def test_merged_groups_come_close_to_exact_ones(spark, tmp_path):
+    """A group with a third of all rows, 70,000 different values in it, merged from 40 stored parts."""
+    ids = spark.range(0, 600_000, numPartitions=12)
+    rows = ids.select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"),
+        F.pmod(F.xxhash64("id"), F.lit(40)).alias("part"),
+        F.pmod(F.xxhash64("id", F.lit(7)), F.lit(70_000)).alias("user"),
+        F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)).alias("x"),
+    )
+    sketched(rows, ["g", "part"], "user", "x").write.parquet(f"{tmp_path}/parts")
+    whole = merged(spark.read.parquet(f"{tmp_path}/parts"), ["g"])
+    found = whole.select("g", "n", n_different().alias("u"), *(quantile(q).alias(f"q{i}") for i, q in enumerate((0.1, 0.5, 0.99))))
+    found = {r["g"]: r for r in found.collect()}
+    exact = {r["g"]: r for r in rows.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("user").alias("u")).collect()}
+    assert found.keys() == exact.keys() and exact["hot"]["n"] == 200_000
+    for g, r in found.items():
+        assert r["n"] == exact[g]["n"] and abs(r["u"] - exact[g]["u"]) <= USERS_ERROR * exact[g]["u"]
+        for i, q in enumerate((0.1, 0.5, 0.99)):
+            rank = rows.filter((F.col("g") == g) & (F.col("x") <= r[f"q{i}"])).count() / r["n"]
+            assert abs(rank - q) <= RANK_ERROR
+
+
+def test_merging_in_steps_gives_the_same_users(spark):
+    rows = spark.range(50_000).select((F.col("id") % 8).alias("a"), (F.col("id") % 4).alias("b"), "id")
+    parts = sketched(rows, ["a", "b"], "id", "id")
+    once = merged(parts, [F.lit(1).alias("one")]).select("n", n_different()).first()
+    twice = merged(merged(parts, ["b"]), [F.lit(1).alias("one")]).select("n", n_different()).first()
+    assert once == twice
+
+
+def test_nulls_and_nothing(spark):
+    rows = spark.createDataFrame([("a", None, None), (None, 1, 5), (None, None, 7)], "g string, u bigint, x bigint")
+    found = merged(sketched(rows, ["g"], "u", "x"), ["g"]).select("g", "n", n_different(), quantile(0.5)).collect()
+    assert {tuple(r) for r in found} == {("a", 1, 0, None), (None, 2, 1, 5)}
+    assert merged(sketched(rows.limit(0), ["g"], "u", "x"), ["g"]).count() == 0
+
+
+def test_rows_are_sketched_before_they_are_shuffled(spark, data):
+    plan = plan_of(daily_sketches(spark, data))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "partial_hll_sketch_agg" in plan
+    assert "Python" not in plan
