@@ -35,6 +35,7 @@ from tidemark.plans.event_time import (
 from tidemark.plans.query import Query
 from tidemark.session import working_folder
 from tidemark.sources.tables import follow_table, read_table
+from tidemark.streaming.asof import last_seen_stream
 from tidemark.streaming.events import (
     deduplicated_stream,
     matched_stream,
@@ -188,6 +189,48 @@ WHERE p.event_type = 'purchase' AND c.event_type = 'click'
 """
 
 
+LAST_CLICK_WITHIN = 6 * HOUR
+
+
+def stream_last_click_before_purchase(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
+    """Each purchase with the same user's latest click of the six hours before it; null if there is none."""
+    step = _step(spark, folder, files_per_trigger)
+
+    def build(session: SparkSession) -> DataFrame:
+        events = follow_table(session, folder, "events", step)
+        timeline = events.filter(F.col("event_type").isin("click", "purchase")).withColumn(
+            "is_click", F.col("event_type") == "click"
+        )
+        found = last_seen_stream(timeline, DELAY, "user_id", "event_id", "is_click", LAST_CLICK_WITHIN)
+        names = {"id": "purchase_id", "key": "user_id", "at": "purchase_ts", "seen_id": "click_id", "seen_at": "click_ts"}
+        return found.withColumnsRenamed(names)
+
+    return _to_end(spark, "stream_last_click_before_purchase", build)
+
+
+# Final when the watermark is past the millisecond after the purchase's own; it is taken over clicks and purchases.
+STREAM_LAST_CLICK_BEFORE_PURCHASE_SQL = f"""
+WITH clicks AS (
+  SELECT user_id, ts, max(event_id) AS event_id
+  FROM events WHERE event_type = 'click' AND ts IS NOT NULL GROUP BY user_id, ts
+), purchases AS (
+  SELECT * FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL
+   AND date_trunc('millisecond', ts) + INTERVAL 1 MILLISECOND < (
+     SELECT date_trunc('millisecond', max(ts)) FROM events
+     WHERE event_type IN ('click', 'purchase') AND user_id IS NOT NULL) - INTERVAL {DELAY} SECOND
+), found AS (
+  SELECT p.event_id AS purchase_id, p.user_id, p.ts AS purchase_ts, c.event_id AS click_id, c.ts AS click_ts
+  FROM purchases p ASOF LEFT JOIN clicks c ON p.user_id = c.user_id AND p.ts >= c.ts
+)
+SELECT purchase_id, user_id, purchase_ts,
+       CASE WHEN click_ts >= purchase_ts - INTERVAL {LAST_CLICK_WITHIN} SECOND THEN click_id END AS click_id,
+       CASE WHEN click_ts >= purchase_ts - INTERVAL {LAST_CLICK_WITHIN} SECOND THEN click_ts END AS click_ts
+FROM found
+"""
+
+
 def _final_sql(sql: str, final_at: str) -> str:
     return f"""
 SELECT * FROM ({sql}) found
@@ -216,4 +259,9 @@ QUERIES = [
     Query(
         "stream_clicks_before_purchases", stream_clicks_before_purchases, STREAM_CLICKS_BEFORE_PURCHASES_SQL
     ),
+    Query(
+        "stream_last_click_before_purchase",
+        stream_last_click_before_purchase,
+        STREAM_LAST_CLICK_BEFORE_PURCHASE_SQL,
+    ),
 ]
