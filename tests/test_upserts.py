@@ -1,0 +1,144 @@
+"""A table kept up by a stream: files in no order, deletions, repeated and broken-off batches, merged folders."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+from pathlib import Path
+
+import pytest
+
+from tidemark.sources.tables import follow_table
+from tidemark.streaming.run import stream_session
+from tidemark.streaming.upserts import KEEP_VERSIONS, UpsertTable, newest_rows
+
+SCHEMA = "n bigint, user_id bigint, ts timestamp, gone boolean, _newest string"
+START = datetime(2024, 1, 1)
+
+
+def some_rows(r: random.Random, n: int) -> list[tuple]:
+    """A third of them user 1's; ties, repeated rows, nulls in every column, a column named like a helper's."""
+    rows = []
+    for _ in range(n):
+        user = r.choice([1, 1, 1, 2, 3, 4, 5, 6, None])
+        at = r.choice([None, START + timedelta(minutes=r.randint(0, 40))])
+        rows.append((r.choice([None, r.randint(0, 3)]), user, at, r.choice([True, False, False, None]), r.choice(["a", "b", None])))
+    return rows + rows[: n // 4]
+
+
+def expected(rows: list[tuple]) -> set[tuple]:
+    def place(row: tuple) -> tuple:
+        n, user, ts, gone, other = row
+        return tuple((v is not None, v) if v is not None else (False,) for v in (ts, n, user, gone, other))
+
+    newest: dict = {}
+    for row in rows:
+        if row[1] not in newest or place(row) > place(newest[row[1]]):
+            newest[row[1]] = row
+    return {row for row in newest.values() if not row[3]}
+
+
+def found(spark, table: UpsertTable) -> list[tuple]:
+    schema = spark.createDataFrame([], SCHEMA).schema
+    return [tuple(r) for r in table.read(spark, schema).collect()]
+
+
+def of(location, merge: int = 2) -> UpsertTable:
+    return UpsertTable(str(location), ["user_id"], ["ts", "n"], "gone", merge)
+
+
+@pytest.mark.parametrize("merge", [2, 3, 100])
+def test_runs_of_a_stream(spark, tmp_path, merge):
+    r = random.Random(merge)
+    folder, table = str(tmp_path / "data"), of(tmp_path / "table", merge)
+    session = stream_session(spark, state_partitions=2)
+    everything: list[tuple] = []
+    for k in range(6):
+        rows = some_rows(r, 20)
+        everything += rows
+        spark.createDataFrame(rows, SCHEMA).coalesce(2).write.mode("append").parquet(f"{folder}/events.parquet")
+        # Two files, one per batch in every other run.
+        table.run_available(follow_table(session, folder, "events", 1 if k % 2 else None))
+        rows_now = found(spark, table)
+        assert len(rows_now) == len(set(rows_now)) and set(rows_now) == expected(everything)
+    versions = table._versions(spark)
+    assert len(versions) <= KEEP_VERSIONS and versions[-1] >= 8
+    listed = table._folders(spark, versions[-1])
+    assert len(listed) <= (merge - 1) * 4 if merge < 100 else len(listed) == versions[-1] + 1
+    # Running once more without new files changes nothing.
+    table.run_available(follow_table(session, folder, "events"))
+    assert table._versions(spark) == versions
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    table = of(tmp_path)
+    batch = spark.createDataFrame([(1, 1, START, False, "a")], SCHEMA)
+    table.take(batch, 0)
+    table.take(spark.createDataFrame([(2, 1, START + timedelta(days=1), False, "b")], SCHEMA), 1)
+    before = sorted(p.name for p in Path(tmp_path, "parts").iterdir())
+    for repeated in (0, 1):
+        table.take(spark.createDataFrame([(9, 9, START, False, "z")], SCHEMA), repeated)
+    assert sorted(p.name for p in Path(tmp_path, "parts").iterdir()) == before
+    assert found(spark, table) == [(2, 1, START + timedelta(days=1), False, "b")]
+
+
+def test_a_batch_broken_off_before_it_is_published(spark, tmp_path, monkeypatch):
+    table = of(tmp_path)
+    first, second = (1, 1, START, False, "a"), (2, 1, START + timedelta(days=1), False, "b")
+    table.take(spark.createDataFrame([first], SCHEMA), 0)
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as lost:
+        lost.setattr(UpsertTable, "_publish", broken)
+        with pytest.raises(OSError, match="lost"):
+            table.take(spark.createDataFrame([second], SCHEMA), 1)
+    assert found(spark, table) == [first]
+    table.take(spark.createDataFrame([second], SCHEMA), 1)
+    assert found(spark, table) == [second]
+    # What the lost attempt left is gone; what the last versions list is there.
+    listed = {f["name"] for v in table._versions(spark) for f in table._folders(spark, v)}
+    assert {p.name for p in Path(tmp_path, "parts").iterdir()} == listed
+
+
+def test_a_broken_stream_goes_on_with_the_same_batch(spark, tmp_path, monkeypatch):
+    folder, table = str(tmp_path / "data"), of(tmp_path / "table")
+    session = stream_session(spark, state_partitions=2)
+    rows = some_rows(random.Random(9), 30)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as lost:
+        lost.setattr(UpsertTable, "_publish", broken)
+        with pytest.raises(Exception, match="lost"):
+            table.run_available(follow_table(session, folder, "events"))
+    assert found(spark, table) == []
+    table.run_available(follow_table(session, folder, "events"))
+    assert set(found(spark, table)) == expected(rows)
+
+
+def test_a_late_row_and_a_deleted_key(spark, tmp_path):
+    table = of(tmp_path)
+    at = [START + timedelta(minutes=m) for m in range(4)]
+    steps = [
+        [(1, 1, at[1], False, "a")],
+        [(2, 1, at[3], True, "b")],  # deleted, and older rows do not bring it back
+        [(3, 1, at[2], False, "c")],
+        [],
+        [(4, 1, at[3], False, "d")],  # at the same time, but with a larger n
+    ]
+    seen = []
+    for batch, rows in enumerate(steps):
+        table.take(spark.createDataFrame(rows, SCHEMA), batch)
+        seen.append([row[0] for row in found(spark, table)])
+    assert seen == [[1], [], [], [], [4]]
+
+
+def test_a_key_is_thinned_out_before_the_shuffle(spark):
+    rows = spark.range(0, 1000, 1, 8).selectExpr("id % 2 AS k", "id AS n")
+    plan = newest_rows(rows, ["k"], ["n"])._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_max" in plan and plan.count("Aggregate") == 2
+    assert {tuple(r) for r in newest_rows(rows, ["k"], ["n"]).collect()} == {(0, 998), (1, 999)}

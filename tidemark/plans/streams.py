@@ -44,6 +44,7 @@ from tidemark.streaming.events import (
     tumbling_stream,
 )
 from tidemark.streaming.run import read_output, run_available, stream_session
+from tidemark.streaming.upserts import UpsertTable
 
 DELAY = HOUR
 FILES_PER_TRIGGER = 256
@@ -231,6 +232,34 @@ FROM found
 """
 
 
+def stream_users_in_order(
+    spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> DataFrame:
+    """The latest event of each user, kept up in a table; an error takes the user out until the next event.
+
+    Any order of the part files gives the same table, so it is always taken in steps.
+    """
+    session = stream_session(spark)
+    events = follow_table(session, folder, "events", files_per_trigger).filter(F.col("ts").isNotNull())
+    changes = events.select(
+        "user_id", "ts", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("is_error")
+    )
+    table = UpsertTable(working_folder(spark, "users_in_order"), ["user_id"], ["ts", "event_id"], "is_error")
+    table.run_available(changes)
+    return table.read(spark, changes.schema).drop("is_error")
+
+
+STREAM_USERS_IN_ORDER_SQL = """
+WITH placed AS (
+  SELECT user_id, ts, event_id, event_type, value, row_number() OVER (
+    PARTITION BY user_id ORDER BY ts DESC, event_id DESC NULLS LAST, event_type DESC NULLS LAST, value DESC NULLS LAST
+  ) AS place
+  FROM events WHERE ts IS NOT NULL
+)
+SELECT user_id, ts, event_id, event_type, value FROM placed WHERE place = 1 AND event_type IS DISTINCT FROM 'error'
+"""
+
+
 def _final_sql(sql: str, final_at: str) -> str:
     return f"""
 SELECT * FROM ({sql}) found
@@ -264,4 +293,5 @@ QUERIES = [
         stream_last_click_before_purchase,
         STREAM_LAST_CLICK_BEFORE_PURCHASE_SQL,
     ),
+    Query("stream_users_in_order", stream_users_in_order, STREAM_USERS_IN_ORDER_SQL),
 ]
