@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
+
 from tidemark.sources.tables import follow_table
-from tidemark.streaming.asof import last_seen_stream
+from tidemark.streaming.asof import _in_order, _still_needed, last_seen_stream
 from tidemark.streaming.run import read_output, run_available, stream_session
 
 START = datetime(2024, 1, 1)
@@ -39,17 +42,26 @@ def expected(rows: list[tuple]) -> set[tuple]:
     return found
 
 
-def test_files_out_of_order_give_the_same_answers(spark, tmp_path):
-    files = events(random.Random(3))
+@pytest.mark.parametrize("buckets", [1, 2, 64])
+def test_files_out_of_order_give_the_same_answers(spark, tmp_path, buckets):
+    """All keys in one bucket, some together, and each on its own."""
+    files = events(random.Random(buckets))
     folder, location = str(tmp_path), f"{tmp_path}/stream"
     session = stream_session(spark, state_partitions=2)
     everything = [row for rows in files for row in rows]
     counts = []
     for rows in files:
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
-        stream = last_seen_stream(follow_table(session, folder, "events"), DELAY, "user_id", "n", "hit", WITHIN)
+        stream = last_seen_stream(follow_table(session, folder, "events"), DELAY, "user_id", "n", "hit", WITHIN, buckets)
         run_available(stream, location)
         counts.append(read_output(spark, stream, location).count())
     found = [tuple(r) for r in read_output(spark, stream, location).collect()]
     assert len(found) == len(set(found)) and set(found) == expected(everything)
     assert 0 < counts[1] < counts[2] < counts[-1]  # answered as the watermark passes, not at the end
+
+
+def test_seen_rows_are_forgotten_when_no_question_needs_them():
+    sights = _in_order(np.array([(1, 5, 1), (1, 9, 3), (1, 9, 2), (1, 30, 4), (2, 2, 5), (3, 8, 6)], np.int64).T)
+    # Of key 1 at or before 10 only the last one counts; key 2's is too old for anything after 10.
+    assert sights[2][_still_needed(sights, 10, 7)].tolist() == [3, 4, 6]
+    assert _still_needed(sights[:, :0], 10, 7).tolist() == []

@@ -49,6 +49,7 @@ from tidemark.streaming.upserts import UpsertTable
 DELAY = HOUR
 FILES_PER_TRIGGER = 256
 STORES_PER_CORE = 2
+BUCKETS_PER_STORE = 16
 
 
 def _step(spark: SparkSession, folder: str, files_per_trigger: int) -> int | None:
@@ -204,7 +205,8 @@ def stream_last_click_before_purchase(
         timeline = events.filter(F.col("event_type").isin("click", "purchase")).withColumn(
             "is_click", F.col("event_type") == "click"
         )
-        found = last_seen_stream(timeline, DELAY, "user_id", "event_id", "is_click", LAST_CLICK_WITHIN)
+        buckets = BUCKETS_PER_STORE * int(session.conf.get("spark.sql.shuffle.partitions"))
+        found = last_seen_stream(timeline, DELAY, "user_id", "event_id", "is_click", LAST_CLICK_WITHIN, buckets)
         names = {"id": "purchase_id", "key": "user_id", "at": "purchase_ts", "seen_id": "click_id", "seen_at": "click_ts"}
         return found.withColumnsRenamed(names)
 
@@ -232,7 +234,7 @@ FROM found
 """
 
 
-def stream_users_in_order(
+def stream_current_users(
     spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
     """The latest event of each user, kept up in a table; an error takes the user out until the next event.
@@ -244,12 +246,12 @@ def stream_users_in_order(
     changes = events.select(
         "user_id", "ts", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("is_error")
     )
-    table = UpsertTable(working_folder(spark, "users_in_order"), ["user_id"], ["ts", "event_id"], "is_error")
+    table = UpsertTable(working_folder(spark, "current_users"), ["user_id"], ["ts", "event_id"], "is_error")
     table.run_available(changes)
     return table.read(spark, changes.schema).drop("is_error")
 
 
-STREAM_USERS_IN_ORDER_SQL = """
+STREAM_CURRENT_USERS_SQL = """
 WITH placed AS (
   SELECT user_id, ts, event_id, event_type, value, row_number() OVER (
     PARTITION BY user_id ORDER BY ts DESC, event_id DESC NULLS LAST, event_type DESC NULLS LAST, value DESC NULLS LAST
@@ -293,5 +295,5 @@ QUERIES = [
         stream_last_click_before_purchase,
         STREAM_LAST_CLICK_BEFORE_PURCHASE_SQL,
     ),
-    Query("stream_users_in_order", stream_users_in_order, STREAM_USERS_IN_ORDER_SQL),
+    Query("stream_current_users", stream_current_users, STREAM_CURRENT_USERS_SQL),
 ]

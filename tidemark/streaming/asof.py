@@ -12,12 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.streaming.events import with_event_time
 
-SPANS = 16
+SPANS = 4
+BUCKETS = 1024
 FOUND = "id bigint, key bigint, at bigint, seen_id bigint, seen_at bigint"
-STATE = "asked_at array<bigint>, asked_id array<bigint>, seen_at array<bigint>, seen_id array<bigint>"
+HELD = ["asked_key", "asked_at", "asked_id", "seen_key", "seen_at", "seen_id"]
+STATE = ", ".join(f"{name} array<bigint>" for name in HELD)
 
 
-def last_seen_stream(events: DataFrame, delay: int, key: str, id_: str, seen: str, within: int) -> DataFrame:
+def last_seen_stream(
+    events: DataFrame, delay: int, key: str, id_: str, seen: str, within: int, buckets: int = BUCKETS
+) -> DataFrame:
     """Each row that is not ``seen`` (a boolean column) with the latest ``seen`` row of its key.
 
     That is at most ``within`` seconds before it, or at the same time; of several at one time the one with the
@@ -25,9 +29,11 @@ def last_seen_stream(events: DataFrame, delay: int, key: str, id_: str, seen: st
     are bigints; rows without a key or a time are left out.
 
     A row is answered once, when the watermark is past it, so rows may come late by ``delay`` and in any order. Rows
-    meet by key and by slot of ``SPANS`` times ``within`` seconds, a seen one also in the next slot if it
-    reaches into that: a key's history is spread over its slots. A slot holds what is unanswered, the seen rows from the
-    last one before that on, and a timer for its next answer; when the watermark leaves the slot, its state is dropped.
+    meet by bucket of keys and by slot of ``SPANS`` times ``within`` seconds, a seen one also in the next slot if it
+    reaches into that: a key's history is spread over its slots. A bucket's slot holds what is unanswered, the seen
+    rows of each key from the last one before that on, and a timer for its next answer; when the watermark leaves the
+    slot, its state is dropped. Each costs a call of Python, which works on all its keys at once, so ``buckets`` is a few per
+    state store, of which there are a few per core; a stream keeps the number it began with.
     """
     reach = within * 1_000_000
     width = SPANS * reach
@@ -39,9 +45,15 @@ def last_seen_stream(events: DataFrame, delay: int, key: str, id_: str, seen: st
 
     slots = F.when(F.col(seen), F.array_distinct(F.array(slot(at), slot(at + reach)))).otherwise(F.array(slot(at)))
     dealt = timed.select(
-        "ts", F.col(key).alias("key"), F.col(id_).alias("id"), at.alias("at"), F.col(seen).alias("seen"), F.explode(slots).alias("slot")
+        "ts",
+        F.col(key).alias("key"),
+        F.col(id_).alias("id"),
+        at.alias("at"),
+        F.col(seen).alias("seen"),
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"),
+        F.explode(slots).alias("slot"),
     )
-    found = dealt.groupBy("key", "slot").applyInPandasWithState(
+    found = dealt.groupBy("bucket", "slot").applyInPandasWithState(
         _answer(width, reach), FOUND, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return found.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("at", "seen_at")})
@@ -49,53 +61,61 @@ def last_seen_stream(events: DataFrame, delay: int, key: str, id_: str, seen: st
 
 def _answer(width: int, reach: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def answer(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        key, slot = (int(x) for x in group)
-        held = [np.array(x, np.int64) for x in (state.get if state.exists else ([], [], [], []))]
-        asked, seen = [held[0:2]], [held[2:4]]
+        slot = int(group[1])
+        held = [np.array(x, np.int64) for x in (state.get if state.exists else [[]] * len(HELD))]
+        asked, seen = [np.stack(held[:3])], [np.stack(held[3:])]
         if not state.hasTimedOut:
             for part in parts:
-                rows, is_seen = part[["at", "id"]].to_numpy(np.int64), part["seen"].to_numpy(bool)
-                asked.append(list(rows[~is_seen].T))
-                seen.append(list(rows[is_seen].T))
-        a_at, a_id = _in_order(asked)
-        s_at, s_id = _in_order(seen)
+                rows, is_seen = part[["key", "at", "id"]].to_numpy(np.int64).T, part["seen"].to_numpy(bool)
+                asked.append(rows[:, ~is_seen])
+                seen.append(rows[:, is_seen])
+        asks, sights = (_in_order(np.concatenate(x, axis=1)) for x in (asked, seen))
 
         # A timer fires when the watermark, in whole milliseconds, is past it. It is set one after the row.
         passed = state.getCurrentWatermarkMs()
-        final = int(np.searchsorted(a_at // 1000 + 1, passed, "left"))
-        if final:
-            yield _found(key, a_at[:final], a_id[:final], s_at, s_id, reach)
-        a_at, a_id = a_at[final:], a_id[final:]
+        final = asks[1] // 1000 + 1 < passed
+        if final.any():
+            yield _found(asks[:, final], sights, reach)
+        asks = asks[:, ~final]
 
         slot_end = -(-(slot + 1) * width // 1000) + 1
-        if not len(a_at) and slot_end < passed:
+        if not asks.shape[1] and slot_end < passed:
             state.remove()
             return
-        # What may still be asked is not before the watermark.
-        earliest = min(passed * 1000, int(a_at[0])) if len(a_at) else passed * 1000
-        first = max(int(np.searchsorted(s_at, earliest, "right")) - 1, 0)
-        state.update((a_at.tolist(), a_id.tolist(), s_at[first:].tolist(), s_id[first:].tolist()))
-        due = int(a_at[0]) // 1000 + 1 if len(a_at) else slot_end
+        earliest = (passed - 1) * 1000  # of what is unanswered or may still be asked
+        sights = sights[:, _still_needed(sights, earliest, reach)]
+        state.update(tuple(x.tolist() for x in (*asks, *sights)))
+        due = int(asks[1].min()) // 1000 + 1 if asks.shape[1] else slot_end
         state.setTimeoutTimestamp(max(due, passed + 1))
 
     return answer
 
 
-def _in_order(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    at, ids = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.lexsort((ids, at))
-    return at[order], ids[order]
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    """By key, time and id, which are the rows of the array."""
+    return rows[:, np.lexsort(rows[::-1])]
 
 
-def _found(key: int, at: np.ndarray, ids: np.ndarray, s_at: np.ndarray, s_id: np.ndarray, reach: int) -> pd.DataFrame:
-    last = np.searchsorted(s_at, at, "right") - 1
-    some = last >= 0
-    if len(s_at):
-        some &= at - s_at[last] <= reach
-    else:
-        s_at = s_id = np.zeros(1, np.int64)
+def _still_needed(sights: np.ndarray, earliest: int, reach: int) -> np.ndarray:
+    """Seen rows, in order, that a question at ``earliest`` or later can have as its answer."""
+    key, at, _ = sights
+    covered = np.zeros(len(at), bool)  # by a later one of its key, for all these questions
+    covered[:-1] = (key[1:] == key[:-1]) & (at[1:] <= earliest)
+    return ~covered & (at >= earliest - reach)
+
+
+def _found(asks: np.ndarray, sights: np.ndarray, reach: int) -> pd.DataFrame:
+    both = np.concatenate([sights, asks], axis=1)
+    asking = np.arange(both.shape[1]) >= sights.shape[1]
+    # At one time the seen ones come first, by id.
+    order = np.lexsort((both[2], asking, both[1], both[0]))
+    both, asking = both[:, order], asking[order]
+    last = np.maximum.accumulate(np.where(asking, -1, np.arange(len(asking))))[asking]
+    key, at, ids = both[:, asking]
+    seen_key, seen_at, seen_id = both[:, last]
+    some = (last >= 0) & (seen_key == key) & (at - seen_at <= reach)
 
     def of(values: np.ndarray) -> pd.Series:
-        return pd.Series(values[last], dtype="Int64").mask(~some)
+        return pd.Series(values, dtype="Int64").mask(~some)
 
-    return pd.DataFrame({"id": ids, "key": key, "at": at, "seen_id": of(s_id), "seen_at": of(s_at)})
+    return pd.DataFrame({"id": ids, "key": key, "at": at, "seen_id": of(seen_id), "seen_at": of(seen_at)})
