@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.compare import assert_same
 from tests.llm.data import awkward, documents, empty, shingles, smallest_reachable
-from tidemark.llm import clusters, minhash_dedup, queries, suffix_dedup
+from tidemark.llm import clusters, exact_dedup, golomb, minhash_dedup, queries, suffix_dedup
 from tidemark.llm.common import saved
-from tidemark.llm.exact_dedup import exact_groups
+from tidemark.llm.exact_dedup import MESSAGE_ROWS, block_rows, coded_messages, exact_groups
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.suffix_dedup import deep_shallow, remove_repeats
 
@@ -55,6 +55,46 @@ def test_exact_groups_with_a_hot_text(spark):
     assert found[898]["group_size"] == 600 and found[898]["keep_id"] == 1
 
 
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "700")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_blocks_go_over_arrow_batches(spark, small_batches):
+    """Messages are counted: one per block and owner, however small the batches are."""
+    tasks, rows, block, owners = 3, 30_000, 4_096, 4
+    prints = spark.range(0, rows, 1, tasks).selectExpr("id AS row", "xxhash64(id div 2) AS print")
+    found = coded_messages(prints, owners, block).collect()
+    assert len(found) == tasks * -(-rows // tasks // block) * owners
+    assert sorted(r for m in found for r in np.frombuffer(m["rows"], np.int64)) == list(range(rows))
+    assert max(Counter(m["piece"] for m in found).values()) == owners
+    for m in found:
+        assert len(golomb.decode(m["code"])) == len(np.frombuffer(m["again"], np.int64))
+        assert np.frombuffer(m["again"], np.int64).sum() == len(np.frombuffer(m["rows"], np.int64))
+    assert coded_messages(prints.limit(0), owners, block).count() == 0
+
+
+def test_messages_do_not_shrink_as_the_table_grows():
+    for total in (0, 1, 10**6, 10**9, 10**10, 10**12):
+        owner = max(exact_dedup.OWNER_ROWS, block_rows(total))
+        assert block_rows(total) * owner >= 0.99 * MESSAGE_ROWS * total
+    assert block_rows(10**6) == 1 << 16 and block_rows(10**10) == 800_000
+
+
+@pytest.mark.parametrize("block", [1, 7, 900])
+def test_groups_do_not_depend_on_the_blocks(spark, monkeypatch, small_batches, block):
+    monkeypatch.setattr(exact_dedup, "block_rows", lambda total: block)
+    rows = [(i, f"text  {i % 37}" if i % 3 else f"text {i}", "aa") for i in range(1500)]
+    found = exact_groups(documents(spark, rows)).collect()
+    sizes = Counter(re.sub(r"\s+", " ", t) for _, t, _ in rows)
+    assert len(found) == 1500 and sum(r["kept"] for r in found) == len(sizes)
+    assert {r["doc_id"]: r["group_size"] for r in found} == {i: sizes[re.sub(r"\s+", " ", t)] for i, t, _ in rows}
+
+
 def brute_components(rows, width: int) -> dict[int, tuple]:
     sets = {}
     for i, t, _ in rows:

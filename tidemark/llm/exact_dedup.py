@@ -3,8 +3,10 @@
 Documents are equal when their texts are equal after each run of white space
 (``[\\x20\\x09-\\x0D]+``) became one space. Only what may have a copy is compared byte by byte:
 
-1. One scan writes a fingerprint of 64 bits and the SHA-256 of each normalised text. A scan
-   task's rows are cut into blocks of at most 65,536 documents.
+1. One scan writes a fingerprint of 64 bits and the SHA-256 of each normalised text. Each task that
+   reads them cuts its rows into blocks, whatever Arrow batches they come in. A block has 65,536 documents, or
+   more in a larger table: with block and owner growing as the root of the number of documents, a
+   message still has ``MESSAGE_ROWS`` fingerprints on average.
 2. Each block sends every owner (a range of fingerprints) the sorted distinct fingerprints it
    has there, Golomb-coded. A fingerprint that thousands of documents of a block share is sent
    once, so no owner gets more of a hot fingerprint than one value per block.
@@ -19,6 +21,7 @@ their own; all rows that carry the kept id are kept. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import golomb
 from tidemark.llm.common import documents_of, join_uneven, numbers, saved, shuffle_partitions
 
-BLOCK_BITS = 16
+BLOCK_ROWS = 1 << 16
 OWNER_ROWS = 500_000
+MESSAGE_ROWS = 64
 
 
 def normalised(text: str | Column) -> Column:
@@ -51,12 +55,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "prints",
     )
     total = prints.count()
-    owners = max(shuffle_partitions(docs.sparkSession), -(-total // OWNER_ROWS))
-
-    messages = prints.select(
-        F.shiftright("row", BLOCK_BITS).alias("block"), "row", "print"
-    ).mapInArrow(_coded(owners), "piece bigint, owner int, code binary, rows binary, again binary")
-    messages = saved(messages, "messages")
+    block = block_rows(total)
+    owners = max(shuffle_partitions(docs.sparkSession), -(-total // max(OWNER_ROWS, block)))
+    messages = saved(coded_messages(prints, owners, block), "messages")
     answers = (
         messages.select("owner", "piece", "code")
         .groupBy("owner")
@@ -93,14 +94,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _coded(owners: int):
+def block_rows(total: int) -> int:
+    """Documents per block, for messages of ``MESSAGE_ROWS`` fingerprints where owners are as large as blocks."""
+    return max(BLOCK_ROWS, math.isqrt(MESSAGE_ROWS * total))
+
+
+def coded_messages(prints: DataFrame, owners: int, block: int) -> DataFrame:
+    """One row per block and owner with fingerprints in common; the columns ``row`` and ``print`` are read."""
+    return prints.select("row", "print").mapInArrow(
+        _coded(owners, block), "piece bigint, owner int, code binary, rows binary, again binary"
+    )
+
+
+def _coded(owners: int, block: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
         for batch in batches:
-            block, row = numbers(batch.column("block")), numbers(batch.column("row"))
-            prints = numbers(batch.column("print")).view(np.uint64)
-            for cut in np.split(np.arange(len(row)), np.flatnonzero(np.diff(block)) + 1):
-                if len(cut):
-                    yield _message(prints[cut], row[cut], owners)
+            row, prints = numbers(batch.column("row")), numbers(batch.column("print")).view(np.uint64)
+            while waiting + len(row) >= block:
+                fits = block - waiting
+                held.append((prints[:fits], row[:fits]))
+                yield _message(*map(np.concatenate, zip(*held)), owners)
+                row, prints, held, waiting = row[fits:], prints[fits:], [], 0
+            if len(row):
+                held.append((prints, row))
+                waiting += len(row)
+        if held:
+            yield _message(*map(np.concatenate, zip(*held)), owners)
 
     return task
 
