@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.data import smallest_reachable, words
-from tidemark.llm import golomb, hashing
+from tidemark.llm import common, golomb, hashing
 from tidemark.llm.common import components, join_uneven, local_roots, string_buffer, text_pieces
 
 
@@ -74,6 +74,25 @@ def test_components(spark, shape):
     assert found == {i: c for i, c in smallest_reachable(ids, links).items()}
 
 
+@pytest.mark.parametrize("most", [7, 1 << 19])
+def test_components_of_few_edges_take_one_step(spark, monkeypatch, most):
+    links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7), (3, 2), (2, 3)]
+    random.Random(3).shuffle(links)
+    written = []
+    real = common.saved
+
+    def look(frame, purpose, *rows):
+        written.append(purpose)
+        return real(frame, purpose, *rows)
+
+    monkeypatch.setattr(common, "saved", look)
+    monkeypatch.setattr(common, "TASK_EDGES", most)
+    edges = spark.createDataFrame(links, "a bigint, b bigint").repartition(5)
+    found = {row["id"]: row["root"] for row in components(edges).collect()}
+    assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)}
+    assert (len(written) <= 2) == (most > len(links)), written
+
+
 def test_local_roots():
     r = random.Random(1)
     for _ in range(30):

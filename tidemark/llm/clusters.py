@@ -72,7 +72,7 @@ def in_shared_keys(
     a table of ``key, id, payload`` with whole keys and returns edges; ``across`` is what
     ``edges_in_large_groups`` takes, for keys of more than ``rows`` ids. Keys of one id go nowhere.
     """
-    shared = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared-keys")
+    shared = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "shared-keys", total)
 
     def having(some: DataFrame) -> DataFrame:
         return join_uneven(keys, "key", some, "members", total).filter(F.col("members").isNotNull()).join(payload, "id")
@@ -119,10 +119,12 @@ def edges_in_large_groups(large: DataFrame, across: Callable, rows: int, rounds:
         last = r == rounds
         apart = F.col("members") - F.col("joined")
         cuts = F.greatest(F.lit(1), F.ceil(apart / rows)) if last else F.lit(1)
-        open_ = saved(open_.select("group", "most", "members", cuts.cast("int").alias("cuts")), "open-groups")
+        open_ = saved(open_.select("group", "most", "members", cuts.cast("int").alias("cuts")), "open-groups", total)
         if open_.isEmpty():
             break
-        queries = join_uneven(labelled, "group", open_, "members", total).filter("most IS NOT NULL")
+        # A row per group of more than one block: few enough to send them everywhere, as are those asked of each.
+        open_ = F.broadcast(open_.drop("members"))
+        queries = labelled.join(open_, "group")
         if r:
             queries = queries.filter("label <> most")
         if last:
@@ -134,6 +136,7 @@ def edges_in_large_groups(large: DataFrame, across: Callable, rows: int, rounds:
                 queries.groupBy("group", F.pmod(F.xxhash64("id", F.lit(r), F.lit(1)), F.lit(asked)).alias("k"))
                 .agg(F.min(order).alias("first"))
                 .select("group", "first.id", "first.blocks", F.lit(0).alias("cut"))
+                .hint("broadcast")
             )
         asking = (
             queries.join(large.select("group", "id", "payload"), ["group", "id"])
@@ -141,8 +144,7 @@ def edges_in_large_groups(large: DataFrame, across: Callable, rows: int, rounds:
             .select("group", "block", "cut", F.lit(0).alias("side"), "id", "payload")
         )
         asked_all = (
-            join_uneven(members, "group", open_, "members", total)
-            .filter("most IS NOT NULL")
+            members.join(open_, "group")
             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
             .select("group", "block", "cut", F.lit(1).alias("side"), "id", "payload")
         )
@@ -157,6 +159,7 @@ def edges_in_large_groups(large: DataFrame, across: Callable, rows: int, rounds:
                 .join(joined, F.col("id") == F.col("_id"), "left")
                 .select("group", "id", "blocks", F.coalesce("root", "id").alias("label")),
                 "labels",
+                total,
             )
     nothing = large.sparkSession.createDataFrame([], EDGES_DDL)
     return reduce(DataFrame.union, found, nothing)

@@ -114,12 +114,14 @@ def near_duplicates(
             F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")
         ),
         "classes",
+        total,
     )
     several = saved(
         signed.join(classes.select("doc_id", "digest"), ["doc_id", "digest"], "left_semi").select(
             "doc_id", "n", "signature"
         ),
         "representatives",
+        total,
     )
 
     keys = several.select("doc_id", "signature").mapInArrow(_keyed, "key bigint, id bigint")
@@ -128,13 +130,14 @@ def near_duplicates(
         keys, several.select(F.col("doc_id").alias("id"), F.col("signature").alias("payload")),
         total * len(KEYS), KEY_BLOCK, tasks, _near, _near_across,
     )
-    families = saved(components(near).select(F.col("id").alias("doc_id"), F.col("root").alias("family")), "families")
+    families = saved(components(near).select(F.col("id").alias("doc_id"), F.col("root").alias("family")), "families", total)
 
     n_members = families.count()
     sizes = several.groupBy("doc_id").agg(F.sum(F.lit(8) * F.col("n")).alias("bytes"))
     members = saved(
         with_blocks(families.join(sizes, "doc_id"), "family", "doc_id", FAMILY_BLOCK, n_members, "bytes", FAMILY_BYTES),
         "members",
+        n_members,
     )
 
     def sets_of(some: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def near_duplicates(
         # Rows that repeat an id, or that equal another, are compared through one of each text.
         large = saved(sets_of(cut).dropDuplicates(["group", "id", "payload"]), "large-families")
         links = links.union(edges_in_large_groups(large, _linked_across(percent), FAMILY_BLOCK))
-    roots = saved(components(links), "components")
+    roots = saved(components(links), "components", n_members)
 
     groups = classes.join(roots, classes["doc_id"] == roots["id"], "left").select(
         "digest", F.coalesce("root", "doc_id").alias("component"), "copies"
