@@ -451,6 +451,31 @@ def test_sample_of_other_paragraphs_has_no_copies(spark, monkeypatch):
     assert sorted(seen) == sorted(set(t for _, t, _ in rows))
 
 
+def test_all_paragraphs_teach_what_is_no_licence(spark, monkeypatch):
+    """Of more paragraphs than any sample had, every one counts once, whatever its place or copies."""
+    written = {}
+    real = licence_scan.saved
+
+    def look(frame, purpose, *rows):
+        written[purpose] = real(frame, purpose, *rows)
+        return written[purpose]
+
+    monkeypatch.setattr(licence_scan, "saved", look)
+    lines = [f"the line {k} of all files" for k in range(9000)] + ["Licensed under the MIT License.", "the files of a license"]
+    model = licence_scan.fit(documents(spark, [(k // 3, text, "aa") for k, text in enumerate(lines * 2)]))
+    counted = written["examples-of-no-licence"].agg({"n": "sum"}).first()[0]
+    assert counted == 9001  # the notice of the MIT License is none of them
+    weight = written["licence-examples"].filter(f"label = {len(licence_scan.TEMPLATES)}").agg({"weight": "sum"}).first()[0]
+    assert licence_scan.UNKNOWN_WEIGHT < weight < licence_scan.UNKNOWN_WEIGHT + len(licence_scan.NEAR_MISSES) + 2
+    assert 0.5 <= model.accepted < 1
+
+
+def test_common_words_alone_resemble_no_template():
+    for t in licence_scan.NOTICES:
+        common = [g for g in t.grams if set(g.split()) <= licence_scan.COMMON]
+        assert len(common) < licence_scan.SIMILAR * len(t.grams), t
+
+
 def test_licence_query_runs_no_python(spark, data):
     found = __spark_entry__.queries()["op5_license_scan"](spark, data)
     plan = found._jdf.queryExecution().executedPlan().toString()
