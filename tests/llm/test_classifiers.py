@@ -492,3 +492,54 @@ def test_licences_of_awkward_rows(spark, licence_model):
     of = {(r["doc_id"], r["families"], r["n_notices"]) for r in found}
     assert (35, "MIT,reserved", 2) in of and (None, "reserved", 1) in of and (2, "", 0) in of
     assert licence_scan.licences(empty(spark), licence_scan.fit(empty(spark))).count() == 0
+
+
+def test_only_what_is_learned_of_paragraphs_is_written(spark, monkeypatch):
+    """Long paragraphs are told apart, copies counted once, and none of their text is shuffled or written."""
+    written = {}
+    real = licence_scan.saved
+
+    def look(frame, purpose, *rows):
+        written[purpose] = real(frame, purpose, *rows)
+        return written[purpose]
+
+    monkeypatch.setattr(licence_scan, "saved", look)
+    plain = "wolken ziehen über das feld " * 40
+    lines = [plain + f"q{k}" for k in range(30)] + ["x" * 23, "x" * 24, "the MIT license of a work", "the MIT. License, of A work!"]
+    licence_scan.fit(documents(spark, [(k // 2, text, "aa") for k, text in enumerate(lines * 2)]))
+    found = written["unknown-paragraphs"].collect()
+    assert len(found) == len(lines)
+    assert max(sum(len(str(x)) for x in r) for r in found) < 200
+    counted = {tuple(sorted(r["features"].indices.tolist())): 0 for r in written["examples-of-no-licence"].collect()}
+    for r in written["examples-of-no-licence"].collect():
+        counted[tuple(sorted(r["features"].indices.tolist()))] += r["n"]
+    assert sorted(counted.values()) == [2, 32]  # the two with the same known words are alike
+
+
+def test_known_words_are_those_of_all_words(spark):
+    vocabulary = sorted({g for t in licence_scan.NOTICES for g in t.grams})
+    texts = [t.text for t in licence_scan.NOTICES] + licence_scan.NEAR_MISSES + licence_scan.AROUND
+    texts += ["", "the the the", "Ünder THE MIT-License, version2 any a-an an", "x license y version 2 0"]
+    rows = licence_scan._with_known(documents(spark, [(k, t, "aa") for k, t in enumerate(texts)]), "text", vocabulary).collect()
+    for r in rows:
+        w = licence_scan._plain_words(r["text"])
+        assert r["grams"] == sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))} & set(vocabulary)), r["text"]
+
+
+def test_what_lacks_the_needed_words_resembles_no_template():
+    needed = set(licence_scan._needed())
+    for t in licence_scan.NOTICES:
+        rest = [g for g in t.grams if g not in needed]
+        assert len(rest) / len(t.grams) < licence_scan.SIMILAR, t
+
+
+def test_telling_words_are_those_of_any_template():
+    """The one pattern finds what the patterns of all templates find, with each word's place and end."""
+    each = re.compile("(?i)(?:" + "|".join(t.telling for t in licence_scan.NOTICES) + ")")
+    one = re.compile(licence_scan.TELLING)
+    assert licence_scan.TELLING.count("(?<![a-zA-Z0-9])") == 1  # looked for at the beginning of words only
+    for t in licence_scan.NOTICES:
+        start, end = re.search("(?i)" + t.telling, t.text).span()
+        for k in range(start, end + 1):
+            for text in (t.text[:k] + t.text[k + 1 :], t.text[:k] + "x" + t.text[k:], t.text[:k] + "- " + t.text[k:], t.text[:k].upper()):
+                assert bool(one.search(text)) == bool(each.search(text)), text
