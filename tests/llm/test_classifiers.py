@@ -44,6 +44,30 @@ def test_language_learns_nothing_from_held_out_documents(spark):
     assert a.languages == b.languages and (a.slots == b.slots).all()
 
 
+def test_language_filters_are_written_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, the n-grams of a small table are written by one task."""
+    written = {}
+    real = language_filters.saved
+
+    def look(frame, purpose, *rows):
+        written[purpose] = real(frame, purpose, *rows)
+        return written[purpose]
+
+    monkeypatch.setattr(language_filters, "saved", look)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    expected = language_filters.fit(docs)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        found = language_filters.fit(docs)
+    finally:
+        spark.conf.set(name, before)
+    assert len(written["gram-counts"].inputFiles()) > 1
+    assert len(written["grams"].inputFiles()) == 1
+    assert found.languages == expected.languages and (found.slots == expected.slots).all()
+
+
 def test_language_of_awkward_rows(spark):
     rows = awkward()
     docs = documents(spark, rows).withColumn("lang_pred", F.lit(1))

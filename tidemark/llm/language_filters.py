@@ -125,6 +125,7 @@ def fit_labelled(rows: DataFrame) -> Filters:
         .filter((F.col("share") >= SHARE * F.col("largest")) & (F.col("share") >= LEAST))
         .select("lang", "gram"),
         "grams",
+        counts.count(),  # short rows: few files
     )
     sizes = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
